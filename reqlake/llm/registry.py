@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import exact_dedup, ngram_join
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+}
