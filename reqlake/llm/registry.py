@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, ngram_join
+from . import exact_dedup, langid, mixing, ngram_join
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_source_mixing": mixing.op3_source_mixing,
     "op8_language_id": langid.op8_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
