@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, ngram_join, sentencepiece_dropout, topk, warc
+from . import chat_rotation, exact_dedup, langid, license_scan, mixing, ngram_join, sentencepiece_dropout, topk, warc
 
 QUERIES = {
     "op1_sentencepiece_dropout": sentencepiece_dropout.op1_sentencepiece_dropout,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op6_chat_rotation": chat_rotation.op6_chat_rotation,
     "op7_warc": warc.op7_warc,
     "op8_language_id": langid.op8_language_id,
     "op9_exact_topk": topk.op9_exact_topk,
@@ -15,6 +17,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": license_scan.ORACLE_SQL,
+    "op6_chat_rotation": chat_rotation.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op9_exact_topk": topk.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
