@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, exact_dedup, langid, license_scan, mixing, ngram_join, sentencepiece_dropout, topk, warc
+from . import chat_rotation, exact_dedup, langid, license_scan, mixing, ngram_join, sentencepiece_dropout, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_sentencepiece_dropout": sentencepiece_dropout.op1_sentencepiece_dropout,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_chat_rotation": chat_rotation.op6_chat_rotation,
     "op7_warc": warc.op7_warc,
     "op8_language_id": langid.op8_language_id,
