@@ -49,7 +49,7 @@ def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     folded = folded.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / BLOCK).cast("int")))
     rows = folded.select(
         "id", F.monotonically_increasing_id().alias("rid"), F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"),
-        "n_blocks", F.transform(_blocks(), block_hash).alias("hashes"),
+        "n_blocks", F.transform(_blocks(), lambda b: block_hash(b)).alias("hashes"),
     )
     rows = scratch.save(rows, "rows")
 
