@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlake.storage import Scratch
+
 # The grammar of requirement sentences.
 NUMBER = r"\d{2,3}(?:[A-Z]{1,2}|-\d)?"
 ONE_OF = r"(?i)\b(?:at\s+least\s+)?(?:one|any)\s+of\b|(?i)\beither\b"
@@ -141,7 +143,8 @@ _ONE_OF_SCOPE = rf"(?i)(?:\b(?:at\s+least\s+)?(?:one|any)\s+of\b|\beither\b).*?(
 
 
 def _masked(text: Column) -> Column:
-    return _inside(_inside(text, _BOTH_SCOPE), _ONE_OF_SCOPE)
+    announced = text.rlike(rf"(?i)\bboth\b|{ONE_OF}")
+    return F.when(announced, _inside(_inside(text, _BOTH_SCOPE), _ONE_OF_SCOPE)).otherwise(text)
 
 
 def _unmasked(text: Column) -> Column:
@@ -218,21 +221,22 @@ def _atoms(text: Column, home: Column, vocabulary: Vocabulary) -> Column:
 def atoms(prepared: DataFrame, key: str, home: str, vocabulary: Vocabulary) -> DataFrame:
     """(key, path, kinds, kind, node, said): the atoms of every text, with the numbers and kinds of the nodes above them.
 
-    One linear chain of passes: rows that are settled (announced lists) travel on unchanged.  A path is at most six cuts,
-    one list and one `both` deep.
+    One linear chain of passes: rows that are settled (announced lists) travel on unchanged, and empty ones to the end.
+    (A filter on a computed text, or the one Spark infers for an inner explode, would copy every pass's expressions into
+    the passes before it.)  A path is at most six cuts, one list and one `both` deep.
     """
     none = F.array()
     rows = prepared.where("route = 'tree'").select(
         key, F.col(home).alias("home"), none.cast("array<int>").alias("path"), none.cast("array<string>").alias("kinds"), F.col("body").alias("text"), F.lit(False).alias("listed")
     )
     for level in range(len(SEPARATORS) + 1):
-        rows = rows.withColumn("text", F.when(F.col("listed"), F.col("text")).otherwise(_cleaned(F.col("text")))).where("text <> ''")
+        rows = rows.withColumn("text", F.when(F.col("listed"), F.col("text")).otherwise(_cleaned(F.col("text"))))
         rows = rows.withColumn("listed", F.col("listed") | _whole_list(F.col("text")))
         if level == len(SEPARATORS):
             break
         pattern, kind = SEPARATORS[level]
         parts = F.filter(F.transform(F.split(_masked(F.col("text")), pattern, -1), _unmasked), lambda p: F.trim(p) != "")
-        rows = rows.withColumn("parts", F.when(F.col("listed"), F.array("text")).otherwise(parts))
+        rows = rows.withColumn("parts", F.when(F.col("listed") | ~F.col("text").rlike(pattern), F.array("text")).otherwise(parts))
         rows = rows.withColumn("cut", F.size("parts") > 1)
         if level == 0:  # a semicolon joins by AND, but by OR where a later part says so
             later = F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))
@@ -242,7 +246,7 @@ def atoms(prepared: DataFrame, key: str, home: str, vocabulary: Vocabulary) -> D
         if level in COMMA_LISTS:
             cut_again = F.flatten(F.transform("parts", lambda p: F.when(_plain_list(p), F.split(p, r"\s*,\s*", -1)).otherwise(F.array(p))))
             rows = rows.withColumn("parts", F.when(F.col("cut"), cut_again).otherwise(F.col("parts")))
-        rows = rows.withColumn("kind", kind_column).select(key, "home", "path", "kinds", "listed", "cut", "kind", F.posexplode("parts").alias("i", "part"))
+        rows = rows.withColumn("kind", kind_column).select(key, "home", "path", "kinds", "listed", "cut", "kind", F.posexplode_outer("parts").alias("i", "part"))
         rows = rows.select(
             key, "home", F.when(F.col("cut"), F.concat("path", F.array("i"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("cut"), F.concat("kinds", F.array("kind"))).otherwise(F.col("kinds")).alias("kinds"),
@@ -250,7 +254,7 @@ def atoms(prepared: DataFrame, key: str, home: str, vocabulary: Vocabulary) -> D
         )
     for items, kind in ((_list_items, "O"), (_both_items, "A")):
         rows = rows.withColumn("items", items(F.col("text"), F.col("listed")))
-        rows = rows.select(key, "home", "path", "kinds", "listed", F.col("items").isNotNull().alias("cut"), F.posexplode(F.coalesce("items", F.array("text"))).alias("i", "text"))
+        rows = rows.select(key, "home", "path", "kinds", "listed", F.col("items").isNotNull().alias("cut"), F.posexplode_outer(F.coalesce("items", F.array("text"))).alias("i", "text"))
         rows = rows.select(
             key, "home", F.when(F.col("cut"), F.concat("path", F.array("i"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("cut"), F.concat("kinds", F.array(F.lit(kind)))).otherwise(F.col("kinds")).alias("kinds"), "text", "listed",
@@ -304,8 +308,9 @@ def parse(rows: DataFrame, key: str, text: str, home: str, vocabulary: Vocabular
     tree is null where nothing is required (parsed) and where the text can't be read (unparsed); partial says that a
     part of the text is not in the tree: notes names it, and unrepresented the parts that state a requirement.
     """
-    prepared = prepare(rows.select(key, text, home), text, home, vocabulary)
-    leaves = atoms(prepared, key, home, vocabulary)
+    scratch = Scratch(rows.sparkSession, "grammar")
+    prepared = scratch.save(prepare(rows.select(key, text, home), text, home, vocabulary).drop(text), "prepared")
+    leaves = scratch.save(atoms(prepared, key, home, vocabulary), "leaves")
     said = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(kinds & F.col("said").isNotNull(), F.struct("path", "said")))), lambda x: x["said"])
     notes = leaves.groupBy(key).agg(said(F.col("kind") != "U").alias("dropped"), said(F.col("kind") == "U").alias("unrecognized"))
     out = prepared.join(fold(leaves, key), key, "left").join(notes, key, "left")
