@@ -31,6 +31,7 @@ from .common import Scratch, slices, table, text_bytes
 from .components import connected_components
 
 COUNTERS_BITS = 20  #: order A counts shingles into 2**20 counters; more only sharpen the order
+ADDING_PARTS = 64  #: groups of tasks whose counters are added first
 FILTER_BITS = 512  #: bits a prefix under order B or C is folded into
 PARITY_BITS = 1024  #: least size of the parity field; larger sets have the next power of two
 BLOCK = 1024  #: most entities on either side of one bucket comparison
@@ -55,18 +56,24 @@ def order_levels(texts: DataFrame, k: int) -> np.ndarray:
                 words, at = tk.word_hashes(*text_bytes(part.column(0)))
                 shingles, _ = tk.shingle_hashes(words, at, k)
                 total += np.bincount(shingles >> np.uint64(64 - COUNTERS_BITS), minlength=len(total)).astype(np.uint32)
-        yield pa.record_batch([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(chunks, -1)], pa.binary())], ["chunk", "counts"])
+        yield pa.record_batch([pa.array(range(chunks), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in total.reshape(chunks, -1)], pa.binary())], ["chunk", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[chunk] = sums.get(chunk, np.zeros(per_chunk, np.uint64)) + np.frombuffer(counts.as_buffer(), np.uint32)
-        # 0 .. 63, as one byte a counter
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([np.ceil(np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["chunk", "levels"])
+                sums[chunk] = sums.get(chunk, np.zeros(per_chunk, np.uint64)) + np.frombuffer(counts.as_buffer(), np.uint64)
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    def logarithms(batches):
+        for batch in add(batches):
+            levels = [np.ceil(np.log2(np.frombuffer(x.as_buffer(), np.uint64) + 1.0)).astype(np.uint8).tobytes() for x in batch.column(1)]  # 0 .. 63, a byte a counter
+            yield pa.record_batch([batch.column(0), pa.array(levels, pa.binary())], ["chunk", "levels"])
 
     counted = texts.select("text").mapInArrow(count, "chunk int, counts binary")
-    added = counted.repartition(chunks, "chunk").mapInArrow(add, "chunk int, levels binary")
+    # added up in two steps: what a task reads stays within the square root of the number of tasks before it
+    some = counted.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ADDING_PARTS))).repartition("chunk", "part").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
+    added = some.repartition(chunks, "chunk").mapInArrow(logarithms, "chunk int, levels binary")
     levels = np.zeros((chunks, per_chunk), np.uint8)
     for row in added.collect():  # always 16 rows of 64 KiB
         levels[row.chunk] = np.frombuffer(row.levels, np.uint8)
