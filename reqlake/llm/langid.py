@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE_DOCS = 400  #: labelled documents a language that training reads, those of the smallest keyed hash of the id
+SAMPLE_PARTS = 64  #: parts a language's documents are ranked in first
 SAMPLE_CHARS = 8_000  #: of each of them (of the sample only; predictions read whole texts)
 DICTIONARY_BYTES = 110_000  #: raw content of a language's dictionary
 SHORT_BYTES, REPEATS = 100, 8  #: shorter texts are compressed as so many repeats, so that literals count
@@ -43,9 +44,12 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw dictionary content by language, most frequent sample first; at most SAMPLE_DOCS documents a language."""
     ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_id is not null and _lang is not null").where(~held_out(F.col("_id")))
-    # the limit on row_number runs before the shuffle too, so no task gathers a language
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("langid"), F.col("_id")), "_id"))
-    chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).select("_id", "_lang")
+    # first of each language's parts, then of the language: no task gathers a language, or what many tasks kept of one
+    chosen = ids.withColumn("_hash", F.xxhash64(F.lit("langid"), F.col("_id"))).withColumn("_part", F.pmod("_hash", F.lit(SAMPLE_PARTS)))
+    for keys in (["_lang", "_part"], ["_lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "_id"))
+        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).drop("_rank")
+    chosen = chosen.select("_id", "_lang")
     counts = ids.groupBy("_lang").count()
     texts = docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64(F.lit("langid"), F.col("_id")), "_id", "_text").collect()
