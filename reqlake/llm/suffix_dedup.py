@@ -73,34 +73,6 @@ def _keep(least: int) -> Callable:
     return run
 
 
-def _shared(batches):
-    """Rows (h, id, pos) sorted by h and id: those whose h stands in two documents."""
-    names = ["h", "id", "pos"]
-    held = None
-
-    def split(t: pa.Table, all_: bool):
-        h, ids = t.column("h").to_numpy(), t.column("id").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        ends = np.append(starts[1:], len(h))
-        if not all_:
-            starts, ends = starts[:-1], ends[:-1]
-        several = ids[starts] != ids[ends - 1]
-        mask = np.zeros(len(h), bool)
-        for lo, hi in zip(starts[several], ends[several]):
-            mask[lo:hi] = True
-        return t.filter(pa.array(mask)), int(ends[-1]) if len(ends) else 0
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch]).select(names)
-        held = pa.concat_tables([held, t]).combine_chunks() if held is not None and len(held) else t
-        if len(held):
-            found, done = split(held, False)
-            yield from found.to_batches()
-            held = held.slice(done)
-    if held is not None and len(held):
-        yield from split(held.combine_chunks(), True)[0].to_batches()
-
-
 def _contexts(least: int) -> Callable:
     """Rows (id, text, places): for each place its gram and 16-bit names of the words after and, backwards, before it."""
 
@@ -197,8 +169,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    kept = texts.mapInArrow(_keep(least), "h long, id long, pos int")
-    shared = scratch.save(kept.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, "h long, id long, pos int"), "shared")
+    kept = scratch.save(texts.mapInArrow(_keep(least), "h long, id long, pos int"), "kept")
+    # grams of two documents: a map-side minimum and maximum, written, so that Spark can split the semi join's hot keys
+    several = kept.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
+    several = scratch.save(several, "several")
+    shared = scratch.save(kept.join(several, "h", "left_semi"), "shared")
+    scratch.drop("kept", "several")
     places = shared.groupBy("id").agg(F.collect_set("pos").alias("places"))  # of one document: as long as its text at most
     suffixes = texts.dropDuplicates(["id"]) if shared.groupBy("id", "pos").count().where("count > 1").limit(1).count() else texts
     suffixes = suffixes.join(places, "id").select("id", "text", "places")
