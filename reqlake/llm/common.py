@@ -1,60 +1,38 @@
-"""Shared pieces of the training-data operators: reading tables, written intermediates, Arrow helpers."""
+"""Shared pieces of the training-data operators: reading tables, shipping this package, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import functools
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
+from reqlake.storage import Scratch
+from reqlake.storage import table as read_table
 
+__all__ = ["Scratch", "slices", "table", "text_bytes"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fixed one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+@functools.cache
+def _ship(context: SparkContext) -> None:
+    """Sends this package to the Python workers once a context, so that it need not be installed on the executors."""
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "reqlake.zip"  # on the driver; Spark's file server hands it out
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
 
-class Scratch:
-    """Written tables that cut lineage: a lost executor re-reads them instead of recomputing the plan.
 
-    ``save`` writes a frame to the shared folder and returns the reread table; ``drop`` deletes one that no later
-    plan reads.  What is left goes when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/reqlake-{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._clean)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        # shuffle files of the finished plan go as soon as the driver has dropped its references to them
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete_path(self.spark, f"{self.root}/{name}")
-
-    def _clean(self) -> None:
-        try:
-            delete_path(self.spark, self.root)
-        except Exception:  # the session may be gone already; the folder is then left to the cluster
-            pass
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _ship(spark.sparkContext)
+    return read_table(spark, sf_dir, name)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
