@@ -64,9 +64,11 @@ def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
         clashing = groups.where("not single").select("h")
         ranked = blocks.join(clashing, "h", "left_semi").distinct()
         ranked = scratch.save(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("block"))), "clashes")
-        # the rows whose blocks clash are cut once more; their order in the scan gives the same rid
-        again = folded.select(F.monotonically_increasing_id().alias("rid"), F.posexplode(_blocks()).alias("seq", "block")).withColumn("h", block_hash(F.col("block")))
-        own = again.join(ranked, ["h", "block"]).select("rid", "seq", "rank")
+        # the texts are cut once more to rank the clashing blocks of each; a row's number is its own run's only, so the
+        # ranks come back by id and digest (rows equal in both have equal texts, or the digest is broken)
+        again = folded.select("id", F.sha2("bytes", 256).alias("sha256"), F.posexplode(_blocks()).alias("seq", "block")).withColumn("h", block_hash(F.col("block")))
+        own = again.join(ranked, ["h", "block"]).select(F.col("id").alias("_id"), F.col("sha256").alias("_sha256"), "seq", "rank").distinct()
+        own = rows.select("rid", "id", "sha256").join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha256") == F.col("_sha256"))).select("rid", "seq", "rank")
         parts = parts.join(own, ["rid", "seq"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
         keys = groups.where("single").select("h", F.lit(0).alias("rank")).union(ranked.select("h", "rank"))
     level = parts.join(_with_names(keys, ["h", "rank"]), ["h", "rank"]).select("rid", "n_blocks", F.col("seq").cast("long").alias("seq"), "name")
