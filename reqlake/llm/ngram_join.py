@@ -167,10 +167,15 @@ def _narrow(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _surviving(n, parity, prefix_b, prefix_c, left, right, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i from left, j from right) that pass the size, parity, order-B and order-C filters, and their slack."""
-    for wa in sorted({x.shape[1] for x in parity}):
-        for wb in (wa, 2 * wa):
-            for p, q in ((left, right), (right, left)) if wa != wb else ((left, right),):
+    """Pairs (i from left, j from right, or either way round) that pass the size, parity, order-B and order-C filters, and their slack.
+
+    Where ``left`` is ``right``, pairs of equal width come both ways round and pairs of two widths once.
+    """
+    widths = sorted({x.shape[1] for x in parity})
+    for wa in widths:
+        # a field of the wider size wb has more than wb / 2 shingles and one of wa at most wa, so the size filter ends here
+        for wb in (w for w in widths if w == wa or (w > wa and num * w < 2 * den * wa)):
+            for p, q in ((left, right), (right, left)) if wa != wb and left is not right else ((left, right),):
                 rows = np.array([i for i in p if parity[i].shape[1] == wa], np.int64)
                 cols = np.array([j for j in q if parity[j].shape[1] == wb], np.int64)
                 if not len(rows) or not len(cols):
@@ -198,7 +203,7 @@ def _pairs_of(e, n, bits, label, side_a, side_b, num, den, forest: bool) -> tupl
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y, slack = (np.concatenate(z) for z in zip(*found))
-    keep = (e[x] < e[y] if side_a is side_b else e[x] != e[y]) & (label[x] != label[y])
+    keep = (e[x] != e[y]) & (label[x] != label[y])
     x, y, slack = x[keep], y[keep], slack[keep]
     if forest:
         parent = list(range(len(e)))

@@ -171,6 +171,24 @@ def test_ngram_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (1, 4)])
+def test_ngram_links_across_widths_in_both_id_orders(spark, num, den):
+    rng = random.Random(13)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in (1032, 2060):  # shingles on both sides of 1024 and of 2048
+        for _ in range(2):
+            w = prose(n)
+            pair = [" ".join(w), " ".join(w[:-30])]
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair if len(rows) % 4 else pair[::-1])]
+    w = prose(3000)
+    rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:900]))]  # two widths apart: linked at 1 / 4 only
+    expected = brute_components(rows, 5, num, den)
+    assert sum(i != c for i, (_, c) in expected.items()) == (5 if num == 1 else 4)
+    out = ngram_join.ngram_components(frame(spark, rows), k=5, num=num, den=den).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected
+
+
 def test_ngram_empty_and_repeated_rows(spark, empty):
     assert ngram_join.ngram_components(empty).count() == 0
     out = ngram_join.ngram_components(frame(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (None, "a"), (1, None)])).collect()
