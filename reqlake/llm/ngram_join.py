@@ -111,8 +111,8 @@ def _profile_batches(levels, k: int, num: int, den: int) -> Callable:
                     out[3].append(by_a.view(np.int64))
                     out[4].append(b"".join(x.tobytes() for x in fields) if n else None)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                    ["id", "n", "f1", "f2", "prefix", "bits"],
+                    [part.column(0), part.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
+                    ["id", "digest", "n", "f1", "f2", "prefix", "bits"],
                 )
 
     return run
@@ -286,24 +286,28 @@ def _verify(k: int, num: int, den: int) -> Callable:
     return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(id, n_shingles, set_id, component_id) per row of ``docs``: components of texts linked at num / den similarity.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, digest): id and digest name a row by its content, so they find it again in any later run of the plan."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
 
-    component_id is the smallest id reachable by links, itself included; set_id the smallest id with the same shingle
-    set.  Defined results: null, empty and blank texts have no shingles, are linked with nothing and stand alone; texts of
-    fewer than k words are one shingle; equal texts and repeated rows link with one another (similarity 1); an id given
-    to several rows is one node of the graph; rows of a null id are left out; an empty table gives no rows.  Other
-    columns are not read, whatever their names.
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, digest, n, set_id, component_id, kept) per row of ``docs``, those of a null id included; the nodes are shingle sets.
+
+    kept marks of each component the row of the smallest id (a null id comes last) and digest, and all texts without words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    texts = _keyed(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(order_levels(texts, k))
-    profiles = scratch.save(texts.mapInArrow(_profile_batches(levels, k, num, den), "id long, n long, f1 long, f2 long, prefix array<long>, bits binary"), "profiles")
+    profiles = scratch.save(texts.mapInArrow(_profile_batches(levels, k, num, den), "id long, digest long, n long, f1 long, f2 long, prefix array<long>, bits binary"), "profiles")
 
-    entities = profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("e"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    entities = scratch.save(entities, "entities")
-    members = scratch.save(profiles.select("id", "n", "f1", "f2"), "members")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    entities = profiles.where("n > 0").groupBy("f1", "f2").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    entities = scratch.save(entities.withColumn("e", F.monotonically_increasing_id()), "entities")
+    nodes = scratch.save(entities.select("e", "f1", "f2", "least"), "nodes")
+    members = scratch.save(profiles.select("id", "digest", "n", "f1", "f2"), "members")
     scratch.drop("profiles")
 
     buckets = entities.select(F.explode("prefix").alias("t"), "e").repartition("t").sortWithinPartitions("t").mapInArrow(_bucket_sets, "s long, size long, e long").distinct()
@@ -315,8 +319,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     buckets = scratch.save(buckets.join(entities.select("e", "n", "bits"), "e"), "buckets")
-    wanted = buckets.select(F.col("e").alias("id")).distinct()
-    wanted_texts = scratch.save(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = nodes.join(buckets.select("e").distinct(), "e", "left_semi").select("e", F.col("least.id").alias("_id"), F.col("least.digest").alias("_digest"))
+    wanted_texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("e", "text")
+    wanted_texts = scratch.save(wanted_texts.dropDuplicates(["e"]), "texts")
     scratch.drop("entities")
 
     def candidates(labelled: DataFrame, forest: bool) -> DataFrame:
@@ -324,8 +329,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return dealt.mapInArrow(_compare(num, den, forest), "a long, b long").distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
-        left = wanted_texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        right = wanted_texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        left = wanted_texts.select(F.col("e").alias("a"), F.col("text").alias("text_a"))
+        right = wanted_texts.select(F.col("e").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_verify(k, num, den), "a long, b long")
 
@@ -336,22 +341,40 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = scratch.save(connected_components(first.union(second), scratch, "cc2"), "roots-2")
     scratch.drop("buckets", "texts")
 
-    sets = members.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("e"))
-    sets = sets.join(roots.withColumnRenamed("node", "e"), "e", "left").select("f1", "f2", "e", F.coalesce("root", "e").alias("r"))
-    own = members.where("n > 0").join(sets, ["f1", "f2"]).select("id", "n", "e", "r")
-    alone = members.where("n = 0").select("id", "n", F.col("id").alias("e"), F.col("id").alias("r"))
-    return own.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("e").alias("set_id"), F.col("r").alias("component_id"))
+    sets = nodes.join(roots.withColumnRenamed("node", "e"), "e", "left").select("f1", "f2", "least", F.coalesce("root", "e").alias("root"))
+    sets = sets.join(sets.groupBy("root").agg(F.min("least").alias("first")), "root").select("f1", "f2", F.col("least.id").alias("set_id"), "first")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    own = members.where("n > 0").join(sets, ["f1", "f2"]).select("id", "digest", "n", "set_id", F.col("first.id").alias("component_id"), kept.alias("kept"))
+    alone = members.where("n = 0").select("id", "digest", "n", F.col("id").alias("set_id"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return own.union(alone)
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, null_ids: bool = False) -> DataFrame:
+    """(id, n_shingles, set_id, component_id) per row of ``docs``: components of texts linked at num / den similarity.
+
+    component_id is the smallest id reachable by links, itself included; set_id the smallest id with the same shingle
+    set.  Defined results: null, empty and blank texts have no shingles, are linked with nothing and stand alone; texts of
+    fewer than k words are one shingle; equal texts and repeated rows link with one another (similarity 1); where an id has
+    several texts each is decided by itself, so its rows can be in different components; rows of a null id are left out
+    unless ``null_ids`` is set, when they take part and their ids are null wherever no other id is reachable; an empty
+    table gives no rows.  Other columns are not read, whatever their names.
+    """
+    docs = docs if null_ids else docs.where(F.col(id_col).isNotNull())
+    out = _components(docs, id_col, text_col, k, num, den)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "set_id", "component_id")
 
 
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row of the smallest id; all columns are kept.
 
-    Texts without words stay.  Repeated rows of one id stay or go together.
+    Texts without words stay.  Rows of a null id take part, and stay where their component has no other id (of several,
+    one text).  Where an id has several texts each stays or goes by itself.  Repeats of one id and text stay or go together.
     """
-    keep = ngram_components(docs, id_col, text_col, k, num, den).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    keep = _components(docs, id_col, text_col, k, num, den).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    digest = F.xxhash64(docs[text_col].cast("string"))
+    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_id"]) & (digest == keep["_digest"]), "left_semi")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents at 4-word shingles and 85 % similarity."""
-    return ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "set_id")
+    """Components of all documents at 4-word shingles and 85 % similarity; a row per document, also of a null id."""
+    return ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100, null_ids=True).select("doc_id", "n_shingles", "component_id", "set_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from reqlake.llm import ngram_join
+
 from .test_operators import LOWER, brute_components, documents, words
 
 
@@ -33,3 +35,16 @@ def test_stages_do_what_they_say(spark):
         assert stage.columns == docs.columns
     last_stage = stages["sentencepiece_dropout"](spark, docs, "")
     assert last_stage.where("not lossless").count() == 0 and last_stage.count() == len(rows)
+
+
+def test_near_stage_keeps_null_ids_and_each_text_of_an_id(spark):
+    prose = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(4)]
+    near = [f"{t} more" for t in prose]
+    rows = [(1, prose[0]), (3, prose[1]), (3, near[0]), (4, near[1]), (None, prose[2]), (None, near[2]), (None, near[1]), (None, prose[3]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "").collect()}
+    assert len(out & {(None, prose[2]), (None, near[2])}) == 1
+    assert out - {(None, prose[2]), (None, near[2])} == {(1, prose[0]), (3, prose[1]), (None, prose[3]), (None, None)}
+    found = ngram_join.ngram_components(docs, null_ids=True).collect()
+    ids = sorted((r.doc_id or 0, r.component_id or 0) for r in found)
+    assert ids == [(0, 0), (0, 0), (0, 0), (0, 0), (0, 3), (1, 1), (3, 1), (3, 3), (4, 3)]
