@@ -8,6 +8,10 @@ documents in both orders: equal words to the right and to the left extend the ma
 passage on either side; longer passages hold further kept suffixes at most a window apart, so the matches of neighbouring
 suffixes overlap and are merged into maximal spans.
 
+A neighbour in one order may share only what follows and one in the other only what precedes, while a document further
+away shares a whole passage.  So where a gram stands in three or more different contexts, all windows of ``least`` words
+that cover it are named, once a context, and windows of two documents are reported as well.
+
 Sorting is by range partitions, so suffixes that thousands of documents share are dealt over tasks like all others, and
 only each partition's outermost rows are compared across partitions.
 """
@@ -159,6 +163,52 @@ def _neighbours(least: int, with_edges: bool) -> Callable:
     return run
 
 
+def _windows(least: int) -> Callable:
+    """Rows (h, after, before, context, low, high): a row per window of ``least`` words that covers the gram, with the words left of the gram."""
+    rest = least - GRAM
+    place = tk.mix(np.arange(rest), 53) | np.uint64(1)
+    lefts = tk.mix(np.arange(rest + 1), 54)
+
+    def run(batches):
+        for batch in batches:
+            h, after, before = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            names, rows, sides = [], [], []
+            for row, (a, b) in enumerate(zip(after, before)):
+                most, least_left = min(len(b) // 2, rest), max(0, rest - len(a) // 2)
+                if most < least_left:
+                    continue
+                around = np.concatenate([np.frombuffer(b, ">u2")[:most][::-1], np.frombuffer(a, ">u2")[:rest]])
+                left = np.arange(least_left, most + 1)
+                inside = tk.mix(around, 55)[(most - left)[:, None] + np.arange(rest)]
+                names.append(tk.mix((inside * place).sum(axis=1, dtype=np.uint64) + h[row] + lefts[left], 56))
+                rows.append(np.full(len(left), row))
+                sides.append(left)
+            name, row, left = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((names, np.uint64), (rows, np.int64), (sides, np.int64)))
+            taken = batch.take(pa.array(row, pa.int64()))
+            yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(left.astype(np.int32)), taken.column(3), taken.column(4), taken.column(5)], ["w", "left", "context", "low", "high"])
+
+    return run
+
+
+def _window_spans(suffixes: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(id, first, last, partner): windows of two documents around grams of three or more contexts."""
+    suffixes = suffixes.withColumn("context", F.xxhash64("h", "after", "before"))
+    many = scratch.save(suffixes.select("h", "context").distinct().groupBy("h").count().where("count > 2").select("h"), "many")
+    # one row of each context stands for it
+    some = suffixes.join(many, "h", "left_semi")
+    one = some.groupBy("h", "context").agg(F.min("after").alias("after"), F.min("before").alias("before"), F.min("id").alias("low"), F.max("id").alias("high"))
+    windows = one.select("h", "after", "before", "context", "low", "high").mapInArrow(_windows(least), "w long, left int, context long, low long, high long")
+    shared = windows.groupBy("w").agg(F.min("low").alias("least_id"), F.max("high").alias("most_id")).where("least_id < most_id")
+    shared = scratch.save(shared, "windows")
+    # back to the contexts, then to their suffixes: neighbouring windows of one partner are one span
+    found = windows.select("w", "left", "context").join(shared, "w").groupBy("context", "least_id", "most_id").agg(F.collect_set("left").alias("lefts"))
+    found = scratch.save(found, "found")
+    spans = some.select("id", "pos", "context").join(found, "context").select("id", "pos", F.explode("lefts").alias("left"), "least_id", "most_id")
+    first = F.col("pos") - F.col("left")
+    partner = F.when(F.col("least_id") != F.col("id"), F.col("least_id")).otherwise(F.col("most_id"))
+    return spans.select("id", first.alias("first"), (first + least).alias("last"), partner.alias("partner"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, first_word, last_word, n_words, partner_id): maximal spans of at least ``least`` words found in other documents.
 
@@ -189,6 +239,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return found.where("not edge").union(across).select("id", "first", "last", "partner")
 
     spans = matches(["h", "after", "id", "pos"], "by-after").union(matches(["h", "before", "id", "pos"], "by-before"))
+    spans = spans.union(_window_spans(suffixes, scratch, least))
     spans = spans.groupBy("id", "first", "last").agg(F.min("partner").alias("partner"))
     order = Window.partitionBy("id").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))

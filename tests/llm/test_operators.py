@@ -270,6 +270,34 @@ def test_repeated_passages(docs, rows, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_recombined_sentences(spark):
+    import pyarrow as pa
+
+    from reqlake.llm.common import text_bytes
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    while True:  # the one gram of the 60 words that is kept lies in their middle sentence, and is kept in the other documents too
+        s = [prose(12) for _ in range(5)]
+        hashes, at = textkit.word_hashes(*text_bytes(pa.array([" ".join(s)])))
+        kept, grams = suffix_dedup.minimisers(hashes, at, 50)
+        if len(kept) == 1 and 24 <= kept[0] <= 28 and grams[0] < 2**63 // 100:
+            break
+    whole, head, tail = " ".join(s), " ".join(s[:3]), " ".join(s[2:])
+    rows = [(0, f"{prose(1)} {whole} {prose(1)}"), (200, f"{prose(1)} {whole} {prose(1)}")]
+    rows += [(i, f"{prose(60)} {tail} {prose(1)}" if i % 2 else f"{prose(1)} {head} {prose(60)}") for i in range(1, 160)]
+    texts = {i: words(t) for i, t in rows}
+    seen: dict = {}
+    for i, x in texts.items():
+        for j in range(len(x) - 49):
+            seen.setdefault(tuple(x[j : j + 50]), set()).add(i)
+    expected = {(i, p) for i, x in texts.items() for j in range(len(x) - 49) if len(seen[tuple(x[j : j + 50])]) > 1 for p in range(j, j + 50)}
+    assert {i for i, _ in expected} == {0, 200}
+    out = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, p) for r in out for p in range(r.first_word, r.last_word + 1)} == expected
+    assert {(r.doc_id, r.partner_id) for r in out} == {(0, 200), (200, 0)}
+
+
 # op6
 
 
