@@ -13,12 +13,22 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlake.storage import Scratch
-from reqlake.storage import table as read_table
+from reqlake import storage
 
 __all__ = ["Scratch", "slices", "table", "text_bytes"]
 
 
+class Scratch(storage.Scratch):
+    """Written tables of plans whose shuffles are as large as their input: those shuffle files should not outlive the plan."""
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        saved = super().save(df, name)
+        # Spark deletes shuffle files once the driver's garbage collector has found their plan unused
+        if hasattr(self.spark, "_jvm"):
+            self.spark._jvm.System.gc()
+        return saved
+
+
 @functools.cache
 def _ship(context: SparkContext) -> None:
     """Sends this package to the Python workers once a context, so that it need not be installed on the executors."""
@@ -32,7 +42,7 @@ def _ship(context: SparkContext) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     _ship(spark.sparkContext)
-    return read_table(spark, sf_dir, name)
+    return storage.table(spark, sf_dir, name)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,18 +2,22 @@
 
 A suffix is kept where its first GRAM words are a minimiser: the smallest hashed gram of some window of grams as wide as
 fits a passage of ``least`` words.  So every passage of ``least`` words that stands in two documents has a suffix kept at the
-same place in both.  Suffixes whose gram stands in one document only have no neighbour and go.  The others are sorted
-twice, by what follows their gram and by what precedes it (read backwards), and compared with their neighbours of other
-documents in both orders: equal words to the right and to the left extend the match.  Comparison looks as far as a whole
-passage on either side; longer passages hold further kept suffixes at most a window apart, so the matches of neighbouring
-suffixes overlap and are merged into maximal spans.
-
-A neighbour in one order may share only what follows and one in the other only what precedes, while a document further
-away shares a whole passage.  So where a gram stands in three or more different contexts, all windows of ``least`` words
-that cover it are named, once a context, and windows of two documents are reported as well.
-
-Sorting is by range partitions, so suffixes that thousands of documents share are dealt over tasks like all others, and
-only each partition's outermost rows are compared across partitions.
+same place in both.  Suffixes whose gram stands in one document only have no neighbour and go.
+
+A kept suffix is seen with its context: the words after its gram and, read backwards, before it, as far as a whole passage
+on either side.  Equal contexts are one row with their smallest and largest document, whatever the number of copies.  Where
+those differ, the whole context is a match.  The contexts are sorted twice, by what follows the gram and by what precedes it,
+and each is compared with its neighbours in both orders: equal words to the right and to the left extend the match.  Longer
+passages hold further kept suffixes at most a window apart, so the matches of neighbouring suffixes overlap and are merged
+into maximal spans.
+
+A neighbour in one order may share only what follows and one in the other only what precedes, while a context further away
+shares a whole passage.  Two contexts that share a passage agree in the nearer half of one side at least.  So where three or
+more contexts agree in such a half, their windows of ``least`` words that hold it are named, and windows of two documents are
+matches as well.  (Two that agree are neighbours in that side's order.)
+
+Contexts are sorted in range partitions and compared batch by batch, so contexts of one gram are dealt over tasks like all
+others; only a partition's outermost rows are compared across partitions.  No result depends on where partitions are cut.
 """
 
 from __future__ import annotations
@@ -69,27 +73,28 @@ def _keep(least: int) -> Callable:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words, at = tk.word_hashes(*text_bytes(part.column(1)))
+                words, at = tk.word_hashes(*text_bytes(part.column(2)))
                 kept, grams = minimisers(words, at, least)
                 row = np.searchsorted(at, kept, "right") - 1
-                yield pa.record_batch([pa.array(grams.view(np.int64)), part.column(0).take(pa.array(row)), pa.array((kept - at[row]).astype(np.int32))], ["h", "id", "pos"])
+                own = pa.array(row)
+                yield pa.record_batch([pa.array(grams.view(np.int64)), part.column(0).take(own), part.column(1).take(own), pa.array((kept - at[row]).astype(np.int32))], ["h", "id", "digest", "pos"])
 
     return run
 
 
 def _contexts(least: int) -> Callable:
-    """Rows (id, text, places): for each place its gram and 16-bit names of the words after and, backwards, before it."""
+    """Rows (id, digest, text, places): for each place its gram and 16-bit names of the words after and, backwards, before it."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words, at = tk.word_hashes(*text_bytes(part.column(1)))
+                words, at = tk.word_hashes(*text_bytes(part.column(2)))
                 names = (words >> np.uint64(48)).astype(">u2").tobytes()
                 backwards = (words[::-1] >> np.uint64(48)).astype(">u2").tobytes()
                 out: list[list] = [[], [], [], [], []]
-                for row, places in enumerate(part.column(2).to_pylist()):
+                for row, places in enumerate(part.column(3).to_pylist()):
                     lo, hi = int(at[row]), int(at[row + 1])
-                    for pos in sorted(set(places)):
+                    for pos in places:
                         i = lo + pos
                         out[0].append(i)
                         out[1].append(names[2 * (i + GRAM) : 2 * min(hi, i + least)])
@@ -99,153 +104,167 @@ def _contexts(least: int) -> Callable:
                         out[4].append(pos)
                 grams = words[np.array(out[0], np.int64)[:, None] + np.arange(GRAM)] if out[0] else np.zeros((0, GRAM), np.uint64)
                 h = tk.mix((grams * (tk.mix(np.arange(GRAM), 51) | np.uint64(1))).sum(axis=1, dtype=np.uint64), 52).view(np.int64)
+                own = pa.array(out[3], pa.int64())
                 yield pa.record_batch(
-                    [pa.array(h), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), part.column(0).take(pa.array(out[3], pa.int64())), pa.array(out[4], pa.int32())],
-                    ["h", "after", "before", "id", "pos"],
+                    [pa.array(h), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), part.column(0).take(own), part.column(1).take(own), pa.array(out[4], pa.int32())],
+                    ["h", "after", "before", "id", "digest", "pos"],
                 )
 
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Equal words at the start of two runs of 16-bit names."""
-    n = min(len(a), len(b)) // 2
-    if a[: 2 * n] == b[: 2 * n]:
-        return n
-    x, y = np.frombuffer(a, ">u2", n), np.frombuffer(b, ">u2", n)
-    return int((x != y).argmax())
+def _names(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of 16-bit names as rows of a matrix, and their lengths."""
+    data, offsets = text_bytes(column)
+    lengths = np.diff(offsets) // 2
+    flat = data.view(">u2") if len(data) else np.zeros(0, ">u2")
+    out = np.zeros((len(column), width), np.uint16)
+    out[np.repeat(np.arange(len(column)), lengths), np.arange(len(flat)) - np.repeat(offsets[:-1] // 2, lengths)] = flat
+    return out, lengths
 
 
-_NEIGHBOURS = "edge boolean, h long, after binary, before binary, id long, pos int, first int, last int, partner long"
+def _common(names: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Equal names at the start of every row and the next."""
+    width = names.shape[1]
+    apart = (names[1:] != names[:-1]) | (np.arange(width) >= np.minimum(lengths[1:], lengths[:-1])[:, None])
+    return np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+
+
+_CONTEXT = ["h", "after", "before", "c", "low", "high"]
+_NEIGHBOURS = "edge boolean, h long, after binary, before binary, c long, low long, high long, left int, right int"
 
 
 def _neighbours(least: int, with_edges: bool) -> Callable:
-    """Sorted suffixes: matches of ``least`` words with neighbours of other documents, and the partition's outer rows."""
+    """Sorted contexts: matches of ``least`` words of contexts of one document, and the partition's first and last row."""
+
+    def edge(row: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([True]), *row.columns, pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], ["edge", *_CONTEXT, "left", "right"])
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if len(b)]
-        if not tables:
-            return
-        t = pa.concat_tables(tables).combine_chunks()
-        h, ids, pos = (t.column(c).to_numpy() for c in ("h", "id", "pos"))
-        after, before = t.column("after").to_pylist(), t.column("before").to_pylist()
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        own = np.searchsorted(starts, np.arange(len(ids)), "right") - 1
-        pairs = set()
-        for i in range(len(ids)):
-            s = own[i]
-            if s > 0 and h[starts[s] - 1] == h[i]:
-                pairs.add((int(starts[s]) - 1, i))
-            if s + 1 < len(starts) and h[starts[s + 1]] == h[i]:
-                pairs.add((i, int(starts[s + 1])))
-        out: list[list] = [[], [], [], []]
-        for i, j in pairs:
-            left, right = _common(before[i], before[j]), _common(after[i], after[j])
-            if left + GRAM + right >= least:
-                for x, y in ((i, j), (j, i)):
-                    for column, value in zip(out, (ids[x], pos[x] - left, pos[x] + GRAM + right, ids[y])):
-                        column.append(value)
-        none = len(out[0])
-        yield pa.record_batch(
-            [pa.array([False] * none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary()), pa.array(out[0], pa.int64()), pa.nulls(none, pa.int32()),
-             pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())],
-            ["edge", "h", "after", "before", "id", "pos", "first", "last", "partner"],
-        )
-        if with_edges:  # of the first two and last two documents, the rows a neighbour beyond the partition would meet
-            ends = np.append(starts[1:], len(ids)) - 1
-            outer = t.take(pa.array(np.unique(np.concatenate([starts[:2], ends[-2:]]))))
-            n = len(outer)
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held is None and with_edges:
+                yield edge(batch.slice(0, 1))
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            held = batch.slice(len(batch) - 1)
+            h, c, low, high = (t.column(i).to_numpy() for i in (0, 3, 4, 5))
+            right, left = _common(*_names(t.column(1), least - GRAM)), _common(*_names(t.column(2), least - GRAM))
+            good = np.flatnonzero((h[1:] == h[:-1]) & (left + GRAM + right >= least))
+            x, y = np.concatenate([good, good + 1]), np.concatenate([good + 1, good])
+            left, right = np.tile(left[good], 2), np.tile(right[good], 2)
+            some = (low[x] == high[x]) & ((low[y] != low[x]) | (high[y] != low[x]))  # of one document, with a context that another has
+            n, x, y = int(some.sum()), x[some], y[some]
             yield pa.record_batch(
-                [pa.array([True] * n), *(outer.column(c).combine_chunks() for c in ("h", "after", "before", "id", "pos")), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-                ["edge", "h", "after", "before", "id", "pos", "first", "last", "partner"],
-            )
+                [pa.array([False] * n, pa.bool_()), pa.array(h[x]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(c[x]), pa.array(low[y]), pa.array(high[y]),
+                 pa.array(left[some].astype(np.int32)), pa.array(right[some].astype(np.int32))],
+                ["edge", *_CONTEXT, "left", "right"],
+            )
+        if held is not None and with_edges:
+            yield edge(held)
 
     return run
 
 
 def _windows(least: int) -> Callable:
-    """Rows (h, after, before, context, low, high): a row per window of ``least`` words that covers the gram, with the words left of the gram."""
+    """Rows (side, h, after, before, c, low, high): a row per window of ``least`` words that holds the gram and the nearer half of that side."""
     rest = least - GRAM
-    place = tk.mix(np.arange(rest), 53) | np.uint64(1)
-    lefts = tk.mix(np.arange(rest + 1), 54)
+    half = -(-rest // 2)
+    place, lefts = tk.mix(np.arange(2 * rest), 53) | np.uint64(1), tk.mix(np.arange(rest + 1), 54)
 
     def run(batches):
         for batch in batches:
-            h, after, before = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            names, rows, sides = [], [], []
-            for row, (a, b) in enumerate(zip(after, before)):
-                most, least_left = min(len(b) // 2, rest), max(0, rest - len(a) // 2)
-                if most < least_left:
-                    continue
-                around = np.concatenate([np.frombuffer(b, ">u2")[:most][::-1], np.frombuffer(a, ">u2")[:rest]])
-                left = np.arange(least_left, most + 1)
-                inside = tk.mix(around, 55)[(most - left)[:, None] + np.arange(rest)]
-                names.append(tk.mix((inside * place).sum(axis=1, dtype=np.uint64) + h[row] + lefts[left], 56))
-                rows.append(np.full(len(left), row))
-                sides.append(left)
-            name, row, left = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((names, np.uint64), (rows, np.int64), (sides, np.int64)))
-            taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(left.astype(np.int32)), taken.column(3), taken.column(4), taken.column(5)], ["w", "left", "context", "low", "high"])
+            for at in range(0, len(batch), 20_000):
+                part = batch.slice(at, 20_000)
+                side, h = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64)
+                sums, have = [], []
+                for column, factors in ((2, place[:rest]), (3, place[rest:])):
+                    names, lengths = _names(part.column(column), rest)
+                    total = np.zeros((len(part), rest + 1), np.uint64)
+                    np.cumsum(tk.mix(names, 55) * factors, axis=1, out=total[:, 1:])
+                    sums.append(total)
+                    have.append(lengths)
+                left = np.arange(rest + 1)
+                fits = (left <= have[1][:, None]) & (rest - left <= have[0][:, None])
+                fits &= np.where(side[:, None] == 0, left <= rest - half, left > rest - half)
+                row, left = np.nonzero(fits)
+                names = tk.mix(h[row] + lefts[left] + sums[0][row, rest - left] + sums[1][row, left], 56)
+                taken = part.take(pa.array(row))
+                yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(left.astype(np.int32)), *(taken.column(i) for i in (1, 4, 5, 6))], ["w", "left", "h", "c", "low", "high"])
 
     return run
 
 
-def _window_spans(suffixes: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """(id, first, last, partner): windows of two documents around grams of three or more contexts."""
-    suffixes = suffixes.withColumn("context", F.xxhash64("h", "after", "before"))
-    many = scratch.save(suffixes.select("h", "context").distinct().groupBy("h").count().where("count > 2").select("h"), "many")
-    # one row of each context stands for it
-    some = suffixes.join(many, "h", "left_semi")
-    one = some.groupBy("h", "context").agg(F.min("after").alias("after"), F.min("before").alias("before"), F.min("id").alias("low"), F.max("id").alias("high"))
-    windows = one.select("h", "after", "before", "context", "low", "high").mapInArrow(_windows(least), "w long, left int, context long, low long, high long")
-    shared = windows.groupBy("w").agg(F.min("low").alias("least_id"), F.max("high").alias("most_id")).where("least_id < most_id")
-    shared = scratch.save(shared, "windows")
-    # back to the contexts, then to their suffixes: neighbouring windows of one partner are one span
-    found = windows.select("w", "left", "context").join(shared, "w").groupBy("context", "least_id", "most_id").agg(F.collect_set("left").alias("lefts"))
-    found = scratch.save(found, "found")
-    spans = some.select("id", "pos", "context").join(found, "context").select("id", "pos", F.explode("lefts").alias("left"), "least_id", "most_id")
-    first = F.col("pos") - F.col("left")
-    partner = F.when(F.col("least_id") != F.col("id"), F.col("least_id")).otherwise(F.col("most_id"))
-    return spans.select("id", first.alias("first"), (first + least).alias("last"), partner.alias("partner"))
+def _window_matches(contexts: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """Matches of contexts of one document among three or more that agree in the nearer half of a side."""
+    rest = least - GRAM
+    half = -(-rest // 2)
+    sides = []
+    for number, (column, words) in enumerate((("after", half), ("before", rest - half + 1))):
+        key = F.xxhash64(F.lit(number), F.col("h"), F.substring(column, 1, 2 * words))
+        sides.append(F.when(F.octet_length(column) >= 2 * words, F.struct(F.lit(number).alias("side"), key.alias("g"))))
+    sided = contexts.select(*_CONTEXT, F.explode(F.array_compact(F.array(*sides))).alias("s")).select(*_CONTEXT, "s.side", "s.g")
+    many = sided.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("single")).where("n > 2 and single > 0").select("g")
+    many = scratch.save(many, "many")
+    windows = sided.join(many, "g", "left_semi").select("side", *_CONTEXT).mapInArrow(_windows(least), "w long, left int, h long, c long, low long, high long")
+    windows = scratch.save(windows, "windows")
+    shared = windows.groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    found = windows.where("low = high").select("w", "left", "h", "c").join(shared, "w")
+    return found.select("h", "c", "left", (rest - F.col("left")).alias("right"), "low", "high")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, first_word, last_word, n_words, partner_id): maximal spans of at least ``least`` words found in other documents.
 
     Words are runs of bytes other than ASCII white space with A-Z lower-cased, numbered from 0; last_word is included.
-    partner_id is the smallest id among the neighbours that matched the span.  Null, empty and shorter texts have no
-    span; repeats inside one document, and rows that repeat an id, are not passages across documents; rows of a null id
-    are left out; an empty table gives no rows; other columns are not read.
+    partner_id is the smallest id among the matches that make up the span.  Null, empty and shorter texts have no span;
+    repeats inside one document, and rows that repeat an id, are not passages across documents; where an id has several
+    texts each has its own spans, once however often it is repeated; rows of a null id are left out; an empty table gives
+    no rows; other columns are not read.
     """
+    if least < GRAM:
+        raise ValueError(f"passages have {GRAM} words at least")
     scratch = Scratch(docs.sparkSession, "suffix")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    kept = scratch.save(texts.mapInArrow(_keep(least), "h long, id long, pos int"), "kept")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")).where("id is not null")
+    kept = scratch.save(texts.mapInArrow(_keep(least), "h long, id long, digest long, pos int"), "kept")
     # grams of two documents: a map-side minimum and maximum, written, so that Spark can split the semi join's hot keys
     several = kept.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     several = scratch.save(several, "several")
     shared = scratch.save(kept.join(several, "h", "left_semi"), "shared")
     scratch.drop("kept", "several")
-    places = shared.groupBy("id").agg(F.collect_set("pos").alias("places"))  # of one document: as long as its text at most
-    suffixes = texts.dropDuplicates(["id"]) if shared.groupBy("id", "pos").count().where("count > 1").limit(1).count() else texts
-    suffixes = suffixes.join(places, "id").select("id", "text", "places")
-    suffixes = scratch.save(suffixes.mapInArrow(_contexts(least), "h long, after binary, before binary, id long, pos int"), "suffixes")
+    places = shared.groupBy("id", "digest").agg(F.collect_set("pos").alias("places"))  # of one text: as long as it at most
+    suffixes = texts.join(places, ["id", "digest"]).select("id", "digest", "text", "places")
+    suffixes = suffixes.mapInArrow(_contexts(least), "h long, after binary, before binary, id long, digest long, pos int")
+    suffixes = scratch.save(suffixes.withColumn("c", F.xxhash64("after", "before")), "suffixes")
     scratch.drop("shared")
+    contexts = suffixes.groupBy("h", "after", "before", "c").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    contexts = scratch.save(contexts.select(*_CONTEXT), "contexts")
 
     def matches(order: list[str], name: str) -> DataFrame:
-        found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), _NEIGHBOURS)
+        found = contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), _NEIGHBOURS)
         found = scratch.save(found, name)
-        edges = found.where("edge").select("h", "after", "before", "id", "pos").distinct()  # four rows a partition at most
-        across = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), _NEIGHBOURS)
-        return found.where("not edge").union(across).select("id", "first", "last", "partner")
-
-    spans = matches(["h", "after", "id", "pos"], "by-after").union(matches(["h", "before", "id", "pos"], "by-before"))
-    spans = spans.union(_window_spans(suffixes, scratch, least))
-    spans = spans.groupBy("id", "first", "last").agg(F.min("partner").alias("partner"))
-    order = Window.partitionBy("id").orderBy("first", "last")
+        edges = found.where("edge").select(*_CONTEXT)  # two rows a partition
+        across = edges.repartition("h").sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), _NEIGHBOURS)
+        return found.where("not edge").union(across).select("h", "c", "left", "right", "low", "high")
+
+    words = lambda column: (F.octet_length(column) / 2).cast("int")
+    found = contexts.where("low < high").select("h", "c", words("before").alias("left"), words("after").alias("right"), "low", "high")
+    found = found.union(matches(["h", "after", "before"], "by-after")).union(matches(["h", "before", "after"], "by-before"))
+    found = found.union(_window_matches(contexts, scratch, least))
+    # all matches of a context hold its gram, so together they are one span
+    found = found.groupBy("h", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = scratch.save(found, "matches")
+    partner = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("high"))
+    spans = suffixes.select("h", "c", "id", "digest", "pos").join(found, ["h", "c"])
+    spans = spans.select("id", "digest", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + GRAM + F.col("right")).alias("last"), partner.alias("partner"))
+    spans = spans.groupBy("id", "digest", "first", "last").agg(F.min("partner").alias("partner"))
+    order = Window.partitionBy("id", "digest").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
     spans = spans.withColumn("span", F.sum("new").over(order))
-    spans = spans.groupBy("id", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("partner").alias("partner"))
+    spans = spans.groupBy("id", "digest", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("partner").alias("partner"))
     return spans.select(
         F.col("id").alias(id_col), F.col("first").cast("long").alias("first_word"), (F.col("last") - 1).cast("long").alias("last_word"), (F.col("last") - F.col("first")).cast("long").alias("n_words"),
         F.col("partner").alias("partner_id"),

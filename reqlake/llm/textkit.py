@@ -1,8 +1,9 @@
 """Words and word shingles of whole Arrow columns, as numpy passes over the bytes.
 
 Words are runs of bytes other than ASCII white space (0x20, 0x09-0x0D) and A-Z is lower-cased, so both are exact on
-UTF-8 bytes.  Words and shingles are named by 64-bit hashes: within a corpus of n distinct shingles a clash has
-probability below n*n / 2**65.
+UTF-8 bytes.  Words and shingles are named by 64-bit hashes.  A word's is a sum of its bytes' values times a multiplier of
+each place; the multipliers are mixed one by one and are no powers of a base, so repetitive words (Thue-Morse words, say)
+do not cancel out.  Among n distinct shingles two share a name with a probability of about n*n / 2**64.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _random = np.random.default_rng(20240917)
-_BYTE = _random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _random.integers(1, (1 << 64) - 1, 256, np.uint64)
 _BYTE[SPACE] = 0
 _STEP = 0x9E3779B97F4A7C15
-_POWER = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray, key: int = 0) -> np.ndarray:
@@ -29,12 +29,11 @@ def mix(x: np.ndarray, key: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        size = max(64, 1 << (n - 1).bit_length())
-        _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _STEP, np.uint64)]), dtype=np.uint64)
-    return _POWER[:n]
+_PLACE = mix(np.arange(4096), 7) | np.uint64(1)
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return _PLACE[:n] if n <= len(_PLACE) else mix(np.arange(n), 7) | np.uint64(1)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +60,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = ends - starts
     run = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, run)
-    value = _BYTE[LOWER[data[starts[0] :]]] * _powers(int(run.max()))[place]
+    value = _BYTE[LOWER[data[starts[0] :]]] * _multipliers(int(run.max()))[place]
     return mix(np.add.reduceat(value, starts - starts[0]) + lengths.astype(np.uint64), 1), at
 
 

@@ -82,6 +82,18 @@ def test_words_and_shingles_name_what_they_should():
     assert len(set(names.values())) == len(names)
 
 
+def test_repetitive_words_have_names_of_their_own():
+    import pyarrow as pa
+
+    from reqlake.llm.common import text_bytes
+
+    thue, other = "a", "b"
+    for _ in range(10):  # the words of 1,024 letters that cancel out in sums of powers modulo 2**64
+        thue, other = thue + other, other + thue
+    hashes, _ = textkit.word_hashes(*text_bytes(pa.array([thue, other, thue * 5, other * 5, thue])))
+    assert len(set(hashes.tolist())) == 4 and hashes[0] == hashes[4]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(7, 7), (3, 2)]
     out = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
@@ -257,47 +269,94 @@ def test_license_places_and_blocks(spark, empty):
 # op5
 
 
-def test_repeated_passages(docs, rows, empty):
-    texts = {i: words(t) for i, t in rows}
+def brute_passages(rows):
+    """(id, word) of every word in a run of 50 that another document has too."""
+    texts = [(i, words(t)) for i, t in rows if i is not None]
     seen: dict = {}
-    for i, w in texts.items():
+    for i, w in texts:
         for j in range(len(w) - 49):
             seen.setdefault(tuple(w[j : j + 50]), set()).add(i)
-    expected = {(i, p) for i, w in texts.items() for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)}
+    return {(i, p) for i, w in texts for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)}
+
+
+def found_words(out):
+    return {(r.doc_id, p) for r in out for p in range(r.first_word, r.last_word + 1)}
+
+
+def some_prose(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_repeated_passages(docs, rows, empty):
     out = suffix_dedup.repeated_passages(docs).collect()
-    assert {(r.doc_id, p) for r in out for p in range(r.first_word, r.last_word + 1)} == expected
+    assert found_words(out) == brute_passages(rows)
     assert all(r.n_words >= 50 and r.partner_id != r.doc_id for r in out)
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
-def test_passages_of_recombined_sentences(spark):
+def one_kept_suffix(rng, sentences, words_each, lowest, highest):
+    """Sentences whose only kept suffix starts in the given range of words and is kept beside other words too."""
     import pyarrow as pa
 
     from reqlake.llm.common import text_bytes
 
-    rng = random.Random(21)
-    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    while True:  # the one gram of the 60 words that is kept lies in their middle sentence, and is kept in the other documents too
-        s = [prose(12) for _ in range(5)]
+    while True:
+        s = [some_prose(rng, words_each) for _ in range(sentences)]
         hashes, at = textkit.word_hashes(*text_bytes(pa.array([" ".join(s)])))
         kept, grams = suffix_dedup.minimisers(hashes, at, 50)
-        if len(kept) == 1 and 24 <= kept[0] <= 28 and grams[0] < 2**63 // 100:
-            break
+        if len(kept) == 1 and lowest <= kept[0] <= highest and grams[0] < 2**63 // 100:
+            return s
+
+
+def test_passages_of_recombined_sentences(spark):
+    rng = random.Random(21)
+    s = one_kept_suffix(rng, 5, 12, 24, 28)
     whole, head, tail = " ".join(s), " ".join(s[:3]), " ".join(s[2:])
-    rows = [(0, f"{prose(1)} {whole} {prose(1)}"), (200, f"{prose(1)} {whole} {prose(1)}")]
-    rows += [(i, f"{prose(60)} {tail} {prose(1)}" if i % 2 else f"{prose(1)} {head} {prose(60)}") for i in range(1, 160)]
-    texts = {i: words(t) for i, t in rows}
-    seen: dict = {}
-    for i, x in texts.items():
-        for j in range(len(x) - 49):
-            seen.setdefault(tuple(x[j : j + 50]), set()).add(i)
-    expected = {(i, p) for i, x in texts.items() for j in range(len(x) - 49) if len(seen[tuple(x[j : j + 50])]) > 1 for p in range(j, j + 50)}
+    rows = [(i, f"{some_prose(rng, 1)} {whole} {some_prose(rng, 1)}") for i in (0, 200)]
+    rows += [(i, f"{some_prose(rng, 60)} {tail} {some_prose(rng, 1)}" if i % 2 else f"{some_prose(rng, 1)} {head} {some_prose(rng, 60)}") for i in range(1, 160)]
+    expected = brute_passages(rows)
     assert {i for i, _ in expected} == {0, 200}
     out = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
-    assert {(r.doc_id, p) for r in out for p in range(r.first_word, r.last_word + 1)} == expected
+    assert found_words(out) == expected
     assert {(r.doc_id, r.partner_id) for r in out} == {(0, 200), (200, 0)}
 
 
+@pytest.mark.parametrize("at", [0, 10, 21, 30, 42])
+def test_a_passage_among_decoys_in_both_orders(spark, at):
+    """50 words shared by two documents, whose gram is followed (and preceded) by nearly the same words in twelve decoys on either side."""
+    rng = random.Random(100 + at)
+    while True:
+        (s,) = one_kept_suffix(rng, 1, 50, at, at)
+        break
+    w = s.split()
+    after, before = w[at + 8 :], w[:at]
+    rows = [(0, f"{some_prose(rng, 5)} {s} {some_prose(rng, 5)}"), (500, f"{some_prose(rng, 5)} {s} {some_prose(rng, 5)}")]
+    for i in range(24):  # half of the words that follow, then others; half of those that precede, then others
+        some = [*before[len(before) // 2 :], *w[at : at + 8], *after] if i % 2 else [*before, *w[at : at + 8], *after[: len(after) // 2]]
+        rows.append((i * 20 + 7, f"{some_prose(rng, 45)} {' '.join(some)} {some_prose(rng, 45)}"))
+    out = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert found_words(out) == brute_passages(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 50])
+def test_passages_do_not_depend_on_partition_cuts(spark, parts):
+    rng = random.Random(33)
+    passages = [some_prose(rng, 55) for _ in range(6)]
+    rows = [(1, " ".join(f"{p} {some_prose(rng, 30)}" for p in passages for _ in range(4)))]
+    rows += [(i, f"{some_prose(rng, 9)} {p} {some_prose(rng, 9)}") for i, p in enumerate(passages, 2)]
+    rows += [(1, "a second text of document one"), (1, f"{passages[0]} {some_prose(rng, 5)}"), (None, passages[1])]
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert found_words(out) == brute_passages(rows)
+    assert len(out) == 24 + 6 + 1 and {r.partner_id for r in out if r.doc_id > 1} == {1}
+
+
 # op6
 
 
