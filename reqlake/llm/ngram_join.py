@@ -7,18 +7,22 @@ the shingles, two linked sets of sizes n and m share one of their first n - ceil
    the leading key of order A, so shingles that many texts share come last.  (The order steers cost, never results.)
 2. ``profiles``: per text its set size, a 128-bit name of its set, its prefix under order A, and three bit fields: the
    parity of all shingles, and the prefixes under the hashed orders B and C.  Texts of equal sets collapse to one entity.
-3. Entities meet in buckets by order-A prefix shingle.  Many shingles have the same members; each such set is kept once.
-   Within a bucket, pairs must pass the size filter, share prefix bits under orders B and C, and pass the parity bound:
-   |x ^ y| is at least the number of differing parity bits and, for links, at most (1 - t) / (1 + t) * (n + m).
-4. A first round verifies one spanning forest of each bucket's surviving pairs on the texts and contracts what links.  A
-   second round verifies every surviving pair whose ends still lie in different components.  So all links are decided,
-   but a large group of near copies never has all its pairs written out.
-
-Large buckets are dealt out as pairs of bounded blocks, so no task holds a whole hot bucket.
+3. Entities meet in buckets by order-A prefix shingle.  Many shingles have the same members: sets of members are named by
+   their size and two sums of hashes, added up before the shuffle, and one shingle stands for each.  Within a bucket,
+   pairs must pass the size filter, share prefix bits under orders B and C, and pass the parity bound: |x ^ y| is at least
+   the number of differing parity bits and, for links, at most (1 - t) / (1 + t) * (n + m).
+4. Two rounds deal a bucket into blocks of bounded size, each time anew, verify one spanning forest of each block's surviving
+   pairs on the texts, and contract what links: their work is linear, and they connect a large group of near copies.
+   A last round takes the buckets that still have more than one component and verifies every surviving pair whose ends
+   lie in different ones.  So all links are decided, but a group of near copies never has all its pairs written out.
+
+In the last round a large bucket is split by set size into classes of which only a class and the next can link, and those
+into pairs of bounded blocks, so no task holds a whole hot bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ COUNTERS_BITS = 20  #: order A counts shingles into 2**20 counters; more only sh
 ADDING_PARTS = 64  #: groups of tasks whose counters are added first
 FILTER_BITS = 512  #: bits a prefix under order B or C is folded into
 PARITY_BITS = 1024  #: least size of the parity field; larger sets have the next power of two
-BLOCK = 1024  #: most entities on either side of one bucket comparison
+BLOCK = 2048  #: entities on either side of one bucket comparison, on average
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -118,42 +122,6 @@ def _profile_batches(levels, k: int, num: int, den: int) -> Callable:
     return run
 
 
-def _bucket_sets(batches):
-    """Rows (t, e) sorted by t: every set of two or more members that some t has, once a partition, as (s, size, e)."""
-    seen: set[tuple[int, int, int]] = set()
-    keep_t, keep_e = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def flush(t, e):
-        if not len(t):
-            return None
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        sizes = np.diff(np.append(starts, len(t)))
-        h1, h2 = np.add.reduceat(tk.mix(e, 21), starts), np.add.reduceat(tk.mix(e, 22), starts)
-        wanted = []
-        for i in np.flatnonzero(sizes > 1):
-            key = (int(h1[i]), int(h2[i]), int(sizes[i]))
-            if key not in seen:
-                seen.add(key)
-                wanted.append(i)
-        if not wanted:
-            return None
-        wanted = np.array(wanted)
-        rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in wanted])
-        again = lambda x: np.repeat(x[wanted], sizes[wanted])
-        return pa.record_batch([pa.array(again(h1).view(np.int64)), pa.array(again(sizes).astype(np.int64)), pa.array(e[rows])], ["s", "size", "e"])
-
-    for batch in batches:
-        t, e = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((keep_t, keep_e)))
-        if not len(t):
-            continue
-        last = int(np.searchsorted(t, t[-1]))  # the last run may go on in the next batch
-        if out := flush(t[:last], e[:last]):
-            yield out
-        keep_t, keep_e = t[last:], e[last:]
-    if out := flush(keep_t, keep_e):
-        yield out
-
-
 def _words64(fields: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(fields), np.uint64).reshape(len(fields), -1)
 
@@ -167,10 +135,7 @@ def _narrow(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _surviving(n, parity, prefix_b, prefix_c, left, right, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i from left, j from right, or either way round) that pass the size, parity, order-B and order-C filters, and their slack.
-
-    Where ``left`` is ``right``, pairs of equal width come both ways round and pairs of two widths once.
-    """
+    """Pairs (i from left, j from right, or either way round), each once, that pass the size, parity, order-B and order-C filters, and their slack."""
     widths = sorted({x.shape[1] for x in parity})
     for wa in widths:
         # a field of the wider size wb has more than wb / 2 shingles and one of wa at most wa, so the size filter ends here
@@ -189,6 +154,8 @@ def _surviving(n, parity, prefix_b, prefix_c, left, right, num: int, den: int) -
                     ok = den * np.minimum(n[some][:, None], n[cols][None, :]) >= num * np.maximum(n[some][:, None], n[cols][None, :])
                     apart = np.bitwise_count(a[lo : lo + step][:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
                     ok &= apart * (den + num) <= (den - num) * total
+                    if left is right and wa == wb:
+                        ok &= some[:, None] < cols[None, :]
                     i, j = np.nonzero(ok)
                     x, y = some[i], cols[j]
                     good = (prefix_b[x] & prefix_b[y]).any(axis=1) & (prefix_c[x] & prefix_c[y]).any(axis=1)
@@ -214,12 +181,14 @@ def _pairs_of(e, n, bits, label, side_a, side_b, num, den, forest: bool) -> tupl
                 i = parent[i]
             return i
 
-        chosen = []
+        chosen, nodes = [], len(np.unique(np.concatenate([x, y])))
         hubs = np.minimum(e[x], e[y])
         for at in np.lexsort((hubs, np.floor(slack * 50))):  # surest first, then by common hubs, so buckets agree
             if (p := root(int(x[at]))) != (q := root(int(y[at]))):
                 parent[p] = q
                 chosen.append(at)
+                if len(chosen) == nodes - 1:  # all are connected
+                    break
         x, y = x[chosen], y[chosen]
     return np.minimum(e[x], e[y]), np.maximum(e[x], e[y])
 
@@ -286,6 +255,48 @@ def _verify(k: int, num: int, den: int) -> Callable:
     return run
 
 
+def _buckets(entities: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """(s, size, e, size_class): the entities of every set of two or more that share an order-A prefix shingle, once a set.
+
+    Sets of sizes n <= m can link only if n >= t * m, so only if their classes are equal or neighbours.
+    """
+    width = math.log(den / num) * 1.0001 if num < den else 1.0
+    size_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    holders = entities.select(F.explode("prefix").alias("t"), "e", size_class.alias("size_class"))
+    sets = holders.groupBy("t").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("e")).alias("x"), F.bit_xor(F.xxhash64("e", F.lit(1))).alias("y")).where("size > 1")
+    named = scratch.save(sets.groupBy("size", "x", "y").agg(F.min("t").alias("t")).select("t", "size"), "sets")
+    return scratch.save(holders.join(named, "t").select(F.col("t").alias("s"), "size", "e", "size_class"), "buckets")
+
+
+def _unconnected(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component, with the component of every member as its label."""
+    labelled = buckets.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("label", F.coalesce("root", "e")).drop("root")
+    several = labelled.groupBy("s").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("s")
+    return labelled.join(several, "s", "left_semi")
+
+
+def _own_block(buckets: DataFrame, turn: int) -> DataFrame:
+    """Rows (s, i, j, side, e, label): every member in one block of its bucket, dealt by a hash of its own each turn."""
+    block = F.pmod(F.xxhash64("e", F.lit(turn)), F.ceil(F.col("size") / BLOCK))
+    return buckets.select("s", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "e", "label")
+
+
+def _all_pairs(buckets: DataFrame) -> DataFrame:
+    """Rows (s, i, j, side, e, label): members by pairs of blocks that can hold links; side tells a pair's blocks apart (0: one block)."""
+    small = buckets.where(F.col("size") <= BLOCK).select("s", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "e", "label")
+    large = buckets.where(F.col("size") > BLOCK)
+    blocks = large.groupBy("s", "size_class").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
+    near = F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)]))  # a class meets itself and its neighbours
+    meets = blocks.select("s", near.alias("to"), F.struct("size_class", "m").alias("of")).groupBy("s", F.col("to").alias("size_class")).agg(F.collect_list("of").alias("of"))
+    name = lambda c, b: F.shiftleft(c.cast("long"), 32) + b
+    own = F.element_at(F.filter("of", lambda o: o["size_class"] == F.col("size_class")), 1)["m"]
+    others = F.flatten(F.transform("of", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["m"] - 1), lambda b: name(o["size_class"], b))))
+    large = large.join(meets, ["s", "size_class"]).withColumn("own", name(F.col("size_class"), F.pmod(F.xxhash64("e"), own)))
+    large = large.select("s", "e", "label", "own", F.explode(others).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return small.union(large.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "e", "label"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, digest): id and digest name a row by its content, so they find it again in any later run of the plan."""
     text = F.col(text_col).cast("string")
@@ -310,22 +321,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     members = scratch.save(profiles.select("id", "digest", "n", "f1", "f2"), "members")
     scratch.drop("profiles")
 
-    buckets = entities.select(F.explode("prefix").alias("t"), "e").repartition("t").sortWithinPartitions("t").mapInArrow(_bucket_sets, "s long, size long, e long").distinct()
-    m = F.ceil(F.col("size") / BLOCK)
-    block = F.pmod(F.xxhash64("e"), m)
-    buckets = buckets.select("s", "e", block.alias("own"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other"))
-    buckets = buckets.select(
-        "s", "e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    buckets = scratch.save(buckets.join(entities.select("e", "n", "bits"), "e"), "buckets")
+    buckets = _buckets(entities, scratch, num, den)
     wanted = nodes.join(buckets.select("e").distinct(), "e", "left_semi").select("e", F.col("least.id").alias("_id"), F.col("least.digest").alias("_digest"))
     wanted_texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("e", "text")
     wanted_texts = scratch.save(wanted_texts.dropDuplicates(["e"]), "texts")
-    scratch.drop("entities")
 
-    def candidates(labelled: DataFrame, forest: bool) -> DataFrame:
-        dealt = labelled.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    def candidates(dealt: DataFrame, forest: bool) -> DataFrame:
+        dealt = dealt.join(entities.select("e", "n", "bits"), "e").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
         return dealt.mapInArrow(_compare(num, den, forest), "a long, b long").distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -334,12 +336,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_verify(k, num, den), "a long, b long")
 
-    first = scratch.save(links(candidates(buckets.withColumn("label", F.col("e")), True)), "links-1")
-    roots = scratch.save(connected_components(first, scratch, "cc1"), "roots-1")
-    labelled = buckets.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("label", F.coalesce("root", "e")).drop("root")
-    second = scratch.save(links(candidates(labelled, False)), "links-2")
-    roots = scratch.save(connected_components(first.union(second), scratch, "cc2"), "roots-2")
-    scratch.drop("buckets", "texts")
+    found, live = None, buckets.withColumn("label", F.col("e"))
+    for turn, name in enumerate(("first", "again", "last")):
+        if name == "again" and buckets.where(F.col("size") > BLOCK).isEmpty():  # the first turn has seen each bucket whole
+            continue
+        dealt = _all_pairs(live) if name == "last" else _own_block(live.where(F.col("size") > BLOCK) if turn else live, turn)
+        pairs = scratch.save(candidates(dealt, name != "last"), f"pairs-{name}")
+        more = scratch.save(links(pairs), f"links-{name}")
+        found = more if found is None else found.union(more)
+        roots = scratch.save(connected_components(found, scratch, f"cc-{name}"), f"roots-{name}")
+        if name != "last":
+            live = scratch.save(_unconnected(buckets, roots), f"live-{name}")
+    scratch.drop("buckets", "texts", "entities")
 
     sets = nodes.join(roots.withColumnRenamed("node", "e"), "e", "left").select("f1", "f2", "least", F.coalesce("root", "e").alias("root"))
     sets = sets.join(sets.groupBy("root").agg(F.min("least").alias("first")), "root").select("f1", "f2", F.col("least.id").alias("set_id"), "first")

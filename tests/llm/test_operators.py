@@ -183,6 +183,24 @@ def test_ngram_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 85, 100)
 
 
+def test_ngram_family_below_and_above_the_threshold(spark, monkeypatch):
+    """Hot shingles of a template family: some pairs link, most fall just short, and sizes spread over several classes."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(90):
+        w = list(base) + [f"tail{i}x{j}" for j in range(rng.choice([0, 3, 9, 30, 80]))]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(90)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    expected = brute_components(rows, 4, 85, 100)
+    assert 10 < len({c for _, c in expected.values()}) < 80
+    for block in (2048, 8):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        out = ngram_join.ngram_components(frame(spark, rows), k=4, num=85, den=100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected
+
+
 @pytest.mark.parametrize(("num", "den"), [(4, 5), (1, 4)])
 def test_ngram_links_across_widths_in_both_id_orders(spark, num, den):
     rng = random.Random(13)
