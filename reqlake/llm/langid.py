@@ -1,13 +1,14 @@
 """Language identification by compression: the language whose zstandard raw-content dictionary shortens a text most.
 
-A text is reduced to its distinct lower-cased words in order of first occurrence (so repetition and punctuation do not
-drown the evidence) and compressed once per language with that language's dictionary.  The smallest result names the
-language; its relative margin to the next is the score, and a narrow margin rejects the text.
+The whole lower-cased text is encoded, block by block, once per language with that language's dictionary; the languages'
+sizes are summed over the blocks.  The smallest sum names the language; its relative margin to the next is the score, and
+a narrow margin rejects the text.  Independent blocks let the dictionary count alike at a text's start and end, and every
+block is encoded several times in a row, because zstandard stores a block raw, whatever the dictionary, where too few bytes
+repeat.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,24 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE_DOCS = 400  #: labelled documents a language that training reads, those of the smallest keyed hash of the id
-SAMPLE_PARTS = 64  #: parts a language's documents are ranked in first
-SAMPLE_CHARS = 8_000  #: of each of them (of the sample only; predictions read whole texts)
-DICTIONARY_BYTES = 110_000  #: raw content of a language's dictionary
-SHORT_BYTES, REPEATS = 100, 8  #: shorter texts are compressed as so many repeats, so that literals count
+SAMPLE_DOCS = 400  #: labelled documents a language that training reads, about: those of the smallest keyed hashes of the id
+SAMPLE_PASSAGES = 110  #: of their passages, those of the smallest hashes make the dictionary
+PASSAGE_CHARS = 1_000
+SAMPLE_PARTS = 64  #: parts in which a language's passages are ranked first
+BLOCK_BYTES, COPIES = 4_096, 4  #: of a text: bytes encoded at once, and how many times in a row
 NARROW = 0.004  #: relative margin below which a text is rejected
 HELD_OUT_MOD = 5
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def reduced(text: str | None) -> bytes:
-    """Distinct words of the whole text, lower-cased; empty if it has no letter."""
-    words = dict.fromkeys(_WORD.findall((text or "").lower()))
-    if not any(c.isalpha() for w in words for c in w):
-        return b""
-    return f" {' '.join(words)} ".encode("utf-8", "replace")
-
 
 def held_out(id_column: Column) -> Column:
     """True for the fifth of ids that training never sees; a null id is neither held out nor learned from."""
@@ -42,22 +33,28 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content by language, most frequent sample first; at most SAMPLE_DOCS documents a language."""
-    ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_id is not null and _lang is not null").where(~held_out(F.col("_id")))
-    # first of each language's parts, then of the language: no task gathers a language, or what many tasks kept of one
-    chosen = ids.withColumn("_hash", F.xxhash64(F.lit("langid"), F.col("_id"))).withColumn("_part", F.pmod("_hash", F.lit(SAMPLE_PARTS)))
-    for keys in (["_lang", "_part"], ["_lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "_id"))
-        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).drop("_rank")
-    chosen = chosen.select("_id", "_lang")
-    counts = ids.groupBy("_lang").count()
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64(F.lit("langid"), F.col("_id")), "_id", "_text").collect()
-    content: dict[str, list[bytes]] = {r._lang: [] for r in counts.orderBy(F.desc("count"), "_lang").collect()}
-    for r in rows:
-        if sum(map(len, content[r._lang])) < DICTIONARY_BYTES:
-            content[r._lang].append(reduced(r._text))
-    return {lang: b"".join(parts)[:DICTIONARY_BYTES] for lang, parts in content.items()}
+    """Raw dictionary content by language, the language of most labelled documents first.
+
+    It is learned from a bounded sample: passages of whole labelled texts (see the constants), SAMPLE_PASSAGES a language at
+    most, which is also all that comes to the driver.  Equal passages count once, and a label goes with its own row's text.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    rows = rows.where("id is not null and lang is not null").where(~held_out(F.col("id")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language
+    if not counts:
+        return {}
+    scale = 1 << 31
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(scale, SAMPLE_DOCS * scale // max(1, r.n))) for r in counts], "lang string, share long")
+    chosen = rows.where("text <> ''").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), F.col("id")), F.lit(scale)) < F.col("share"))
+    passages = chosen.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("passage")).distinct()
+    passages = passages.withColumn("hash", F.xxhash64("passage")).withColumn("part", F.pmod("hash", F.lit(SAMPLE_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # no task gathers a language, or what many tasks kept of one
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "passage"))
+        passages = passages.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PASSAGES)
+    content: dict[str, list[str]] = {r.lang: [] for r in sorted(counts, key=lambda r: (-r.n, r.lang))}
+    for r in passages.select("lang", "rank", "passage").orderBy("lang", "rank").collect():
+        content[r.lang].append(r.passage)
+    return {lang: "\n".join(parts).encode("utf-8", "replace") for lang, parts in content.items()}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -65,7 +62,7 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
     for lang, content in dictionaries.items():
         # short matches count as evidence, so the least match is 4 bytes; greedy search keeps it fast
         parameters = zstandard.ZstdCompressionParameters.from_level(
-            6, dict_size=len(content), source_size=4000, min_match=4, strategy=zstandard.STRATEGY_GREEDY, search_log=2,
+            6, dict_size=len(content), source_size=BLOCK_BYTES, min_match=4, strategy=zstandard.STRATEGY_GREEDY, search_log=2,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         if len(content) < 8:
@@ -79,14 +76,16 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
 
 def classify(text: str | None, made: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
     """(language, score, rejected) of one whole text; ties go to the language with more training documents."""
-    data = reduced(text)
-    if not data or not made:
+    if not made or not any(map(str.isalpha, text or "")):
         return "und", 0.0, True
-    if len(data) < SHORT_BYTES:
-        data *= REPEATS
-    sizes = sorted((len(c.compress(data)), at) for at, (_, c) in enumerate(made))
-    margin = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-    return made[sizes[0][1]][0], margin, margin < NARROW
+    data, sizes = text.lower().encode("utf-8", "replace"), [0] * len(made)
+    for at in range(0, len(data), BLOCK_BYTES):
+        block = data[at : at + BLOCK_BYTES] * COPIES
+        for i, (_, compressor) in enumerate(made):
+            sizes[i] += len(compressor.compress(block))
+    order = sorted(range(len(made)), key=lambda i: (sizes[i], i))
+    margin = 1.0 - sizes[order[0]] / sizes[order[1]] if len(made) > 1 else 1.0
+    return made[order[0]][0], margin, margin < NARROW
 
 
 def _predict(dictionaries) -> Callable:
@@ -117,7 +116,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever their names.
+
+    Texts that are null or have no letter go, and so do all where no row is labelled; repeated rows stay or go together.
+    """
     dictionaries = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
 

@@ -424,23 +424,59 @@ def test_ranges_are_coalesced():
 # op8
 
 
-def test_language_is_told_on_held_out_texts(spark):
+def languages():
     rng = random.Random(8)
     stems = {"aa": ["tion", "the", "ing", "er", "and"], "bb": ["schen", "ung", "der", "keit", "ich"], "cc": ["eaux", "que", "ment", "les", "oir"]}
     rows = []
     for i in range(300):
         lang = rng.choice(list(stems))
-        rows.append((i, " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(8, 60))), lang))
-    rows += [(1000, None, "aa"), (1001, "", None), (1002, "123 ²½ !!", "bb"), (None, "the and ing er the tion", "aa")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("_lang", F.lit("clash"))
+        rows.append((i, " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(8, 60) if i % 50 else 4000)), lang))
+    return rows + [(1000, None, "aa"), (1001, "", None), (1002, "123 ²½ !!", "bb"), (None, "the and ing er the tion", "aa")]
+
+
+def test_language_is_told_on_held_out_texts(spark):
+    import zlib
+
+    rows = languages()
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("_lang", F.lit("clash")).withColumn("rank", F.lit("clash"))
     out = {r.doc_id: r for r in langid.identify(table).collect()}
     truth = {i: lang for i, _, lang in rows if i is not None and i < 1000}
+    assert {i: r.held_out for i, r in out.items()} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in out}
     held = [i for i in truth if out[i].held_out]
-    assert 30 < len(held) < 90 and sum(out[i].lang_pred == truth[i] for i in held) / len(held) > 0.97
+    assert len(held) > 30 and sum(out[i].lang_pred == truth[i] for i in held) / len(held) > 0.97
     assert all(out[i].lang_pred == "und" and out[i].rejected and out[i].score == 0 for i in (1000, 1001, 1002))
-    assert all(0 <= r.score <= 1 for r in out.values()) and len(out) == len(rows) and out[None].held_out is False
-    assert langid.identified(table).columns == table.columns
+    assert all(0 <= r.score <= 1 for r in out.values()) and len(out) == len(rows)
+    kept = langid.identified(table)
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.rejected}
     assert langid.identify(table.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+    # every prediction against the sizes of the whole text, counted here
+    content = langid.train(table)
+    assert list(content) == sorted(content, key=lambda k: -sum(lang == k for _, _, lang in rows[:300])) and set(content) == {"aa", "bb", "cc"}
+    made = dict(langid.compressors(content))
+    for i, t, _ in rows[:300]:
+        raw = t.lower().encode()
+        size = {k: sum(len(c.compress(raw[j : j + 4096] * 4)) for j in range(0, len(raw), 4096)) for k, c in made.items()}
+        best, second = sorted(size.values())[:2]
+        assert size[out[i].lang_pred] == best and out[i].score == pytest.approx(1 - best / second) and out[i].rejected == (1 - best / second < langid.NARROW)
+
+
+def test_language_training_reads_rows_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PASSAGES", 20)
+    monkeypatch.setattr(langid, "PASSAGE_CHARS", 50)
+    rows = languages()
+    rows += [(5000, f"repeated words number {i}", "bb" if i % 2 else "aa") for i in range(300)] + [(5000, "a row without label", None)] * 3 + [(5001, "same text again", "cc")] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    import zlib
+
+    content = langid.train(table)
+    for lang, data in content.items():
+        passages = data.decode().split("\n")
+        own = [t.lower() for i, t, k in rows if k == lang and t and i is not None and zlib.crc32(str(i).encode()) % 5]
+        assert 10 < len(passages) <= 20 and len(set(passages)) == len(passages)
+        assert all(any(p in t for t in own) for p in passages)
 
 
 # op9
