@@ -284,6 +284,16 @@ def test_license_places_and_blocks(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_look_alike_licenses_get_one_label(spark):
+    notice = dict(license_scan.TEMPLATES)
+    rng = random.Random(4)
+    rows = [(i, f"{some_prose(rng, 5 + 13 * i)} {notice[k]}. {some_prose(rng, 70)}") for i, k in enumerate(notice)]
+    rows.append((100, f"{notice['lgpl'].replace('Lesser', 'Lesser (not Affero)')} {some_prose(rng, 99)}"))
+    out = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert out == {i: k for i, k in enumerate(notice)} | {100: ""}
+    assert all(len(words) <= 58 for _, _, words in license_scan.template_words())
+
+
 # op5
 
 
@@ -524,3 +534,39 @@ def test_exact_dedup_keeps_one_row_of_repeats(spark, empty):
     out = exact_dedup.exact_duplicates_dropped(frame(spark, rows))
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, "A"), (3, "b"), (3, "c")] and out.columns == empty.columns
     assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+# the SQL of the registered queries
+
+
+@pytest.mark.parametrize("name", ["op4_license_scan", "op6_chat_rotation", "op7_warc", "op9_exact_topk", "op10_exact_dedup"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from reqlake.llm import registry
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    out = registry.QUERIES[name](spark, folder)
+    columns = sorted(out.columns)
+    oracle = db.sql(registry.ORACLE_SQL[name])
+    assert sorted(oracle.columns) == columns
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else repr(v)
+    assert sorted(tuple(map(text, r)) for r in out.select(*columns).collect()) == sorted(tuple(map(text, r)) for r in oracle.select(*columns).fetchall())
+
+
+def test_license_sql_of_notices(spark):
+    import duckdb
+
+    notice = dict(license_scan.TEMPLATES)
+    rng = random.Random(5)
+    rows = [(i, f"{some_prose(rng, 17 * i)} {notice[k]}. {some_prose(rng, 20)} {notice[rng.choice(list(notice))]}") for i, k in enumerate(list(notice) * 2)]
+    db = duckdb.connect()
+    db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    oracle = db.sql(license_scan.ORACLE_SQL)
+    out = license_scan.scan(frame(spark, rows)).select(*oracle.columns)
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else repr(v)
+    assert sorted(tuple(map(text, r)) for r in out.collect()) == sorted(tuple(map(text, r)) for r in oracle.fetchall())
