@@ -32,8 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document under seeded merge dropout; lossless tells that they decode to the text."""
-    return sentencepiece_dropout.encode(docs)
+    """Pieces of every document under seeded merge dropout, each copy's its own; lossless tells that they decode to the text."""
+    return sentencepiece_dropout.encode(docs, per_copy=True, keep=("lang", "source"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("source_mixing", mix), ("sentencepiece_dropout", pieces)]

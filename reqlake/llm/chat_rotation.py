@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 SYSTEM = "system"
-UNKNOWN = "unknown"
 END = "<|end|>\n"
 
 
@@ -23,7 +22,8 @@ def _content(text: Column) -> Column:
 
 
 def _name(role: Column) -> Column:
-    return F.regexp_replace(role, "[^A-Za-z0-9_-]", "_")
+    """The role with its UTF-8 bytes other than ASCII letters, digits, `.`, `_` and `-` as %XX, so that names stay different."""
+    return F.replace(F.replace(F.url_encode(role), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -32,18 +32,19 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ``speaker`` is the participant whose perspective it is: every role of the dialogue but `system`.  Offsets count
     characters of the rendering; trained_from and trained_to are null where the turn isn't the speaker's, and enclose
     its text and end mark where it is.  Turns go by turn number (null first), then role, then text; repeated rows are
-    repeated turns.  A null role is `unknown`, a null text empty; rows of a null conversation form one dialogue; a
-    dialogue of system turns alone has no participant and no rendering; an empty table gives no rows.
+    repeated turns.  Turns of a null role belong to one participant without a name (a null speaker, apart from any that
+    has a name); a null text is empty; rows of a null conversation form one dialogue; a dialogue of system turns alone has
+    no participant and no rendering; an empty table gives no rows.
     """
     t = turns.select(
-        F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN)).alias("_role"), _content(F.col(text_col).cast("string")).alias("_text")
+        F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).cast("string").alias("_role"), _content(F.col(text_col).cast("string")).alias("_text")
     )
-    speakers = t.where(F.col("_role") != SYSTEM).select(F.col("_conv").alias("_of"), F.col("_role").alias("_speaker")).distinct()
+    speakers = t.where(~F.col("_role").eqNullSafe(SYSTEM)).select(F.col("_conv").alias("_of"), F.col("_role").alias("_speaker")).distinct()
     both = t.join(speakers, F.col("_conv").eqNullSafe(F.col("_of")))
-    own = F.col("_role") == F.col("_speaker")
-    head = F.when(own, "<|assistant|>\n").when(F.col("_role") == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), _name(F.col("_role")), F.lit("|>\n")))
+    own = F.col("_role").eqNullSafe(F.col("_speaker"))
+    head = F.when(own, "<|assistant|>\n").when(F.col("_role") == SYSTEM, "<|system|>\n").when(F.col("_role").isNull(), "<|user|>\n").otherwise(F.concat(F.lit("<|user name="), _name(F.col("_role")), F.lit("|>\n")))
     both = both.withColumn("_head", F.length(head)).withColumn("_segment", F.concat(head, "_text", F.lit(END)))
-    order = Window.partitionBy("_conv", "_speaker").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_text")
+    order = Window.partitionBy("_conv", "_speaker").orderBy(F.col("_turn").asc_nulls_first(), F.col("_role").asc_nulls_first(), "_text")
     starts = F.coalesce(F.sum(F.length("_segment")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     both = both.withColumn("_position", F.row_number().over(order)).withColumn("_starts", starts)
     return both.select(
@@ -73,19 +74,19 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+WITH t AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS DISTINCT FROM 'system'),
 b AS (
-  SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-         ELSE '<|user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') || '|>' END || chr(10) AS head
+  SELECT t.*, speaker, CASE WHEN role IS NOT DISTINCT FROM speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' WHEN role IS NULL THEN '<|user|>'
+         ELSE '<|user name=' || replace(url_encode(role), '~', '%7E') || '|>' END || chr(10) AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 g AS (SELECT *, head || text || '<|end|>' || chr(10) AS seg FROM b),
 o AS (
   SELECT *, row_number() OVER w AS pos, coalesce(sum(length(seg)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
-  FROM g WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
+  FROM g WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text))
 SELECT conv_id, speaker, string_agg(seg, '' ORDER BY pos) AS text,
-       coalesce(string_agg((st + length(head)) :: VARCHAR || '-' || (st + length(seg)) :: VARCHAR, ',' ORDER BY pos) FILTER (WHERE role = speaker), '') AS trained_spans,
-       count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_trained_turns,
-       CAST(coalesce(sum(length(seg) - length(head)) FILTER (WHERE role = speaker), 0) AS BIGINT) AS trained_chars
+       coalesce(string_agg((st + length(head)) :: VARCHAR || '-' || (st + length(seg)) :: VARCHAR, ',' ORDER BY pos) FILTER (WHERE role IS NOT DISTINCT FROM speaker), '') AS trained_spans,
+       count(*) AS n_turns, count(*) FILTER (WHERE role IS NOT DISTINCT FROM speaker) AS n_trained_turns,
+       CAST(coalesce(sum(length(seg) - length(head)) FILTER (WHERE role IS NOT DISTINCT FROM speaker), 0) AS BIGINT) AS trained_chars
 FROM o GROUP BY conv_id, speaker
 """

@@ -108,15 +108,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeats of a kept row (same id and text) one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeats of a kept row (same id and text) one stays."""
     scratch = Scratch(docs.sparkSession, "keep")
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).count()
+    keep = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).count()
     keep = scratch.save(keep, "keep")
     sha = F.sha2(fold_case(F.col(text_col).cast("string")).cast("binary"), 256)
-    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
-    if keep.where("count > 1").isEmpty():
-        return out
-    return out.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("rid"), sha.alias("rsha"))
+    out = rows.join(keep, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rsha") == F.col("sha")), "left_semi")
+    if not keep.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["rid", "rsha"])
+    return out.select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ FAN_IN = 64  #: residuals an inner node of the tree combines
 
 def _sizes(batches):
     for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
+        data, offsets = text_bytes(batch.column(3))
         raw = data.tobytes()
         counts = [len(raw[lo:hi].split()) for lo, hi in zip(offsets, offsets[1:])]  # bytes.split() parts at 0x20 and 0x09-0x0D
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "source", "size"])
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64())], ["id", "source", "digest", "size"])
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -82,8 +82,10 @@ def pivotal(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 def _round_block(seed: int, depth: int, last: bool) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = mix(mix(pdf.id.fillna(-1).to_numpy(np.int64), seed) ^ pdf["size"].to_numpy(np.int64).astype(np.uint64), depth)
-        order = np.lexsort((pdf.rid, pdf.id.fillna(-1), key, -pdf["size"]))  # large ones first: the one left over is small
+        ids, digest, turn = (pdf[c].fillna(-1).to_numpy(np.int64) for c in ("id", "digest", "turn"))
+        key = mix(mix(mix(ids, seed) ^ mix(digest) ^ mix(turn, 5)) ^ pdf["size"].to_numpy(np.int64).astype(np.uint64), depth)
+        # large ones first, so that they settle among each other and the many small ones bring the last one to an end
+        order = np.lexsort((turn, digest, ids, key, -pdf["size"]))
         pdf = pdf.iloc[order].reset_index(drop=True)
         draws = (mix(key[order], 31) >> np.uint64(11)) / float(1 << 53)
         p = pivotal(pdf["size"].to_numpy(np.float64), pdf.p.to_numpy(np.float64), draws)
@@ -94,30 +96,27 @@ def _round_block(seed: int, depth: int, last: bool) -> Callable:
     return run
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """(id, size, source_size, target, taken, copies) per row of ``docs``.
-
-    size counts runs of bytes other than ASCII white space; null and empty texts have size 0 and are taken 0 times over.
-    A null source is a source of its own, the last.  Repeated rows are rounded each; ties fall by keyed hash of the id, so
-    reruns agree whatever the partitioning.  Where all sizes are 0, targets are 0.  An empty table gives no rows; other
-    columns are not read.  A source's taken words differ from its target by less than
-    one document, mostly a small one.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.mapInArrow(_sizes, "id long, source string, size long").withColumn("rid", F.monotonically_increasing_id())
-    sizes = scratch.save(sizes, "sizes")
+def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """(id, digest, source, size, source_size, target, copies) per row of ``docs``."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    sizes = scratch.save(rows.mapInArrow(_sizes, "id long, source string, digest long, size long"), "sizes")
     src = scratch.save(targets(sizes), "targets")
 
+    # repeats of a row are counted before the shuffle and numbered, so that they too are dealt over the blocks, alike in every run
+    many = 1 << 16
+    turns = sizes.groupBy("id", "source", "digest", "size").agg((F.count("*") - 1).alias("last"))
+    turns = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / many))).alias("high"))
+    turns = turns.select("id", "source", "digest", "size", F.explode(F.sequence(F.col("high") * many, F.least(F.col("last"), F.col("high") * many + many - 1))).alias("turn"))
     named = src.withColumnRenamed("source", "_source")
-    plan = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
+    plan = turns.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    block = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.ceil(F.col("n") / BLOCK_ROWS))
+    plan = plan.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("rid", F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64(F.lit(seed), "id", "size", "digest", "turn"), F.ceil(F.col("n") / BLOCK_ROWS))
     plan = scratch.save(plan.withColumn("block", block), "plan")
 
-    schema = "rid long, id long, size long, s int, block long, p double"
-    work, depth, done = plan.where("p > 0 and size > 0").select("rid", "id", "size", "s", "block", "p"), 0, []
+    schema = "rid long, id long, digest long, turn long, size long, s int, block long, p double"
+    work, depth, done = plan.where("p > 0 and size > 0").select("rid", "id", "digest", "turn", "size", "s", "block", "p"), 0, []
     blocks = -(-(src.agg(F.max("n")).first()[0] or 1) // BLOCK_ROWS)
     while True:
         rounded = work.groupBy("s", "block").applyInPandas(_round_block(seed, depth, blocks == 1), schema)
@@ -131,17 +130,43 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for more in done[1:]:
         extra = extra.union(more)
     out = plan.join(extra, "rid", "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    return out.select("id", "digest", "source", "size", "source_size", "target", "copies")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """(id, size, source_size, target, taken, copies) per row of ``docs``.
+
+    size counts runs of bytes other than ASCII white space; null and empty texts have size 0 and are taken 0 times over.
+    A null source is a source of its own, the last.  Repeated rows are rounded each; all draws are keyed hashes of the id,
+    the text and the number of the repeat, so reruns agree whatever the partitioning.  Where all sizes are 0, targets are
+    0.  An empty table gives no rows; other columns are not read.
+
+    Rounding keeps a source's sum but for the last document left, so its taken words differ from its target by less than
+    that one's size: by 0.1 % of the target or less where a source has thousands of documents, but by up to the size of its
+    largest document where it has a few dozen.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    out = _plan(docs, scratch, id_col, text_col, source_col, seed)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (not at all, once or twice); all columns are kept.
+    """``docs`` with every row as often as the mix takes it (not at all, once or twice); all columns are kept, whatever their names.
 
-    Ids are taken to name rows: where several rows have one id, each comes as often as the most taken of them.
+    Rows are those of ``mix_sources``; of rows that repeat an id, a source and a text, it is settled how many are taken.
     """
-    copies = mix_sources(docs, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.join(copies.where("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    named = _plan(docs, scratch, id_col, text_col, source_col, seed).groupBy("id", "source", "digest")
+    named = scratch.save(named.agg(F.sum("copies").alias("total"), F.count("*").alias("n")), "copies").where("total > 0")
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).cast("string")
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("rid"), F.col(source_col).cast("string").alias("rsource"), F.xxhash64(text).alias("rdigest"))
+    out = rows.join(named, F.col("rid").eqNullSafe(F.col("id")) & F.col("rsource").eqNullSafe(F.col("source")) & (F.col("rdigest") == F.col("digest")))
+    copies = F.floor(F.col("total") / F.col("n"))
+    if not named.where("total % n > 0").isEmpty():  # some repeats come once more than others
+        turn = F.row_number().over(Window.partitionBy("id", "source", "digest").orderBy(F.xxhash64("row")))
+        out = out.withColumn("turn", turn)
+        copies = copies + F.when(F.col("turn") <= F.col("total") % F.col("n"), 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("int")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

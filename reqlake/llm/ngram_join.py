@@ -373,14 +373,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row of the smallest id; all columns are kept.
+    """The rows of ``docs`` that stay: of each component the row of the smallest id; all columns are kept, whatever their names.
 
     Texts without words stay.  Rows of a null id take part, and stay where their component has no other id (of several,
     one text).  Where an id has several texts each stays or goes by itself.  Repeats of one id and text stay or go together.
     """
-    keep = _components(docs, id_col, text_col, k, num, den).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    digest = F.xxhash64(docs[text_col].cast("string"))
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_id"]) & (digest == keep["_digest"]), "left_semi")
+    keep = _components(docs, id_col, text_col, k, num, den).where("kept").select("id", "digest").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("rid"), F.xxhash64(F.col(text_col).cast("string")).alias("rdigest"))
+    return rows.join(keep, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rdigest") == F.col("digest")), "left_semi").select("row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

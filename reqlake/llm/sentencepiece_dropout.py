@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table
@@ -248,35 +248,42 @@ def encode_texts(model: Pieces, texts: list[str], ids: np.ndarray, dropout: floa
     return result, offsets
 
 
-def _encode(path: str, dropout: float, seed: int) -> Callable:
+def _encode(path: str, dropout: float, seed: int, columns: list[str]) -> Callable:
     def run(batches):
         model = pieces(path)
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+                ids, turns = (part.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in (0, 2))
+                ids = np.where(turns > 0, mix(ids ^ mix(turns, 41).view(np.int64), 42).view(np.int64), ids)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found, offsets = encode_texts(model, texts, ids, dropout, seed)
                 flat, lossless = found.tolist(), []
                 for text, lo, hi in zip(texts, offsets.tolist(), offsets[1:].tolist()):
                     lossless.append(model.decode(flat[lo:hi]) == text.encode())
                 yield pa.record_batch(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found)), pa.array(np.diff(offsets)), pa.array(lossless, pa.bool_())],
-                    ["id", "pieces", "n_pieces", "lossless"],
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found)), pa.array(np.diff(offsets)), pa.array(lossless, pa.bool_()), *part.columns[3:]],
+                    ["id", "pieces", "n_pieces", "lossless", *columns],
                 )
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, per_copy: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(id, pieces, n_pieces, lossless) per row of ``docs``: the pieces of the whole text under merge dropout.
 
     lossless tells that decoding the pieces gave the text back (null counts as the empty text, which has no pieces).
-    Repeated rows get equal pieces; equal texts of different ids differ as their keys do.  A null id is keyed as -1.  An
-    empty table gives no rows; other columns are not read.
+    Repeated rows get equal pieces, or with ``per_copy`` pieces of their own, keyed by the number of the repeat; equal texts
+    of different ids differ as their keys do.  A null id is keyed as -1.  An empty table gives no rows; of the other columns
+    those of ``keep`` come along, and the rest are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encode(model, dropout, seed), "id long, pieces array<int>, n_pieces long, lossless boolean")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("turn"), *keep)
+    if per_copy:
+        of = Window.partitionBy("id", F.xxhash64("text")).orderBy(F.lit(0))  # equal rows: any order numbers them alike
+        rows = rows.withColumn("turn", F.row_number().over(of).cast("long") - 1)
+    schema = "id long, pieces array<int>, n_pieces long, lossless boolean" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(_encode(model, dropout, seed, list(keep)), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqlake import storage
+
 from .common import Scratch, table
 
 REVISIT_BYTES = 100  #: equal payloads of at least so many bytes are stored once
@@ -64,9 +66,18 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder as Spark names it, and the path in it; a path without a scheme is refused, as it could
+    mean another place here than where Spark reads it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri} names no file system; give it as storage.qualified does")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def _write(folder: str) -> Callable:
     def run(batches):
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = open_folder(folder)
         files.create_dir(root, recursive=True)
         stream, name, at, rows = None, "", 0, []
 
@@ -97,6 +108,7 @@ def _write(folder: str) -> Callable:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the pages' archives into ``folder`` when evaluated; the result is their index (see INDEX)."""
+    folder = storage.qualified(pages.sparkSession, folder)
     columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return with_decisions(pages).select(*columns).mapInArrow(_write(folder), INDEX)
 
@@ -136,7 +148,7 @@ def coalesced(spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int
 
 def _read(folder: str, with_payload: bool) -> Callable:
     def run(batches):
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = open_folder(folder)
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD.split(", ") if with_payload or not c.startswith("payload ")])
         opened, stream = "", None
@@ -164,6 +176,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
 
     Revisits come without payload but with the size and digest of the payload they stand for.
     """
+    folder = storage.qualified(index.sparkSession, folder)
     spans = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
     schema = RECORD if with_payload else ", ".join(c for c in RECORD.split(", ") if not c.startswith("payload "))
     return spans.mapInArrow(_read(folder, with_payload), schema)

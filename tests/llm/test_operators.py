@@ -228,22 +228,63 @@ def test_ngram_empty_and_repeated_rows(spark, empty):
 # op3
 
 
+def brute_targets(sizes):
+    """Targets by source (None last): what is left is shared by weight, again and again, until no source is above twice its size."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        above = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not above:
+            return target | share
+        target |= {s: 2.0 * sizes[s] for s in above}
+        left -= sum(2 * sizes[s] for s in above)
+        open_ -= above
+    return target
+
+
+def check_mix(rows, out):
+    """``rows`` are (id, text, source), ``out`` what was taken of them; compared as multisets."""
+    sizes = [(i, s, len((t or "").encode().split())) for i, t, s in rows]
+    totals: dict = {}
+    for _, s, n in sizes:
+        totals[s] = totals.get(s, 0) + n
+    targets = brute_targets(totals)
+    assert sorted((str(r.doc_id), r.size, r.source_size, round(r.target, 6)) for r in out) == sorted((str(i), n, totals[s], round(targets[s], 6)) for i, s, n in sizes)
+    assert all(0 <= r.taken <= 2 * r.size for r in out)
+    by_target: dict = {}
+    for s in totals:
+        by_target.setdefault((totals[s], round(targets[s], 6)), []).append(s)
+    for (size, target), own in by_target.items():
+        taken = sum(r.taken for r in out if (r.source_size, round(r.target, 6)) == (size, target))
+        assert abs(taken - target * len(own)) < len(own) * max([n for _, s, n in sizes if s in own] + [1])
+
+
 def test_mix_meets_its_targets(docs, rows, empty):
-    out = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
-    again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(7)).collect()}
-    assert {i: r.taken for i, r in out.items()} == again
-    assert all(r.size == len((t or "").encode().split()) for i, t in rows for r in [out[i]])
-    assert all(0 <= r.taken <= 2 * r.size for r in out.values())
-    sources = {i: f"s{i % 3}" if i % 7 else None for i, _ in rows}
-    for s in set(sources.values()):
-        own = [out[i] for i in out if sources[i] == s]
-        assert {r.source_size for r in own} == {sum(r.size for r in own)}
-        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
-    total = {sources[i]: r.target for i, r in out.items()}
-    assert sum(total.values()) == pytest.approx(1.5 * sum(r.size for r in out.values()))
+    out = mixing.mix_sources(docs).collect()
+    assert {r.doc_id: r.taken for r in out} == {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(7)).collect()}
+    check_mix([(i, t, f"s{i % 3}" if i % 7 else None) for i, t in rows], out)
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_of_many_sources_and_repeated_rows(spark):
+    rng = random.Random(6)
+    names = [None, "", "a", "A", "é", "zz", "z", "\U0001f600", "\uffee", "hot"]
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), "hot" if i % 3 == 0 else rng.choice(names)) for i in range(600)]
+    rows += [(7, "same row " * 3, "rep")] * 150 + [(None, None, None), (None, "x", None), (8, "one id", "rep"), (8, "two texts here", "rep")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(table).collect()
+    check_mix(rows, out)
+    again = mixing.mix_sources(table.repartition(5)).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+
+    clash = table.withColumn("_id", F.lit(1)).withColumn("copies", F.lit("c")).withColumn("total", F.lit("c")).withColumn("row", F.lit("c")).withColumn("digest", F.lit("c"))
+    mix = mixing.mixed(clash)
+    assert mix.columns == clash.columns
+    assert sum(len((r.text or "").split()) for r in mix.collect()) == sum(r.taken for r in out)
+
+
 def test_pivotal_rounding_keeps_sums_and_expectations():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 50, 41).astype(float)
@@ -392,15 +433,35 @@ def test_every_participant_gets_a_rendering(spark):
     turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob b", None), (1, 3, "ann", "bye"), (2, 0, None, "x"), (3, 0, "system", "alone"), (1, 3, "ann", "bye")]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("clash")).withColumn("position", F.lit(1))
     out = {(r.conv_id, r.speaker): r for r in chat_rotation.render(table).collect()}
-    assert set(out) == {(1, "ann"), (1, "bob b"), (2, "unknown")}
+    assert set(out) == {(1, "ann"), (1, "bob b"), (2, None)}
     ann = out[1, "ann"]
-    assert ann.text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob_b|>\n<|end|>\n<|assistant|>\nbye<|end|>\n<|assistant|>\nbye<|end|>\n"
+    assert ann.text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob%20b|>\n<|end|>\n<|assistant|>\nbye<|end|>\n<|assistant|>\nbye<|end|>\n"
     spans = [ann.text[slice(*map(int, s.split("-")))] for s in ann.trained_spans.split(",")]
     assert spans == ["hi < |end|><|end|>\n", "bye<|end|>\n", "bye<|end|>\n"]
     assert (ann.n_turns, ann.n_trained_turns, ann.trained_chars) == (5, 3, sum(map(len, spans)))
     assert chat_rotation.render(table.limit(0)).count() == 0
 
 
+def test_participants_stay_apart(spark):
+    names = ["bob b", "bob_b", "bob+b", "bob*b", "bob~b", "你好", "再见", None, "unknown", "", "system "]
+    turns = [(1, i, name, f"t{i}") for i, name in enumerate(names)] + [(1, 99, "system", "s")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.speaker: r for r in chat_rotation.render(table).collect()}
+    assert set(out) == set(names)
+    for name, r in out.items():
+        assert r.n_trained_turns == 1 and r.text.count("<|assistant|>") == 1 and f"<|assistant|>\nt{names.index(name)}<|end|>" in r.text
+    heads = [line for line in out[None].text.split("\n") if line.startswith("<|user")]
+    assert len(set(heads)) == len(names) - 1 and "<|user|>" not in heads and "<|user|>" in out["unknown"].text
+
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    oracle = db.sql(chat_rotation.ORACLE_SQL)
+    assert {r[1]: r for r in oracle.select("conv_id", "speaker", "text", "trained_spans", "n_turns", "n_trained_turns", "trained_chars").fetchall()} == {k: tuple(r) for k, r in out.items()}
+
+
 # op7
 
 
@@ -426,6 +487,14 @@ def test_index_selects_records(spark):
     assert {r.page_id: bytes(r.payload) for r in out} == {i: str(i).encode() * 200 for i in (10, 11, 12, 40)}
 
 
+def test_archive_folders_are_where_spark_puts_them(spark):
+    from reqlake import storage
+
+    assert storage.qualified(spark, "/tmp/x") == "file:/tmp/x" and warc.open_folder("file:/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="no file system"):
+        warc.open_folder("/tmp/x")
+
+
 def test_ranges_are_coalesced():
     reads = list(warc.coalesced([("a", 0, 10), ("a", 10, 5), ("a", 100, 5), ("a", 10**6, 5), ("b", 0, 3)]))
     assert [(f, s, e, len(i)) for f, s, e, i in reads] == [("a", 0, 105, 3), ("a", 10**6, 10**6 + 5, 1), ("b", 0, 3, 1)]
