@@ -26,8 +26,9 @@ def requirement_key(kind: Column, code: Column, subject: Column, min_level: Colu
     return F.when(kind == "course", F.concat(F.lit("course:"), code)).otherwise(F.concat(F.lit("level:"), subject, F.lit(":"), min_level.cast("string")))
 
 
-def describe_requirement(kind: Column, code: Column, subject: Column, min_level: Column) -> Column:
-    return F.when(kind == "course", code).otherwise(F.concat(F.lit("any "), min_level.cast("string"), F.lit("-level "), subject, F.lit(" course")))
+def describe_requirement(kind: Column, code: Column, subject: Column, min_level: Column, external: Column) -> Column:
+    untracked = F.when(external, " (not tracked here — verify yourself)").otherwise("")
+    return F.when(kind == "course", F.concat(code, untracked)).otherwise(F.concat(F.lit("any "), min_level.cast("string"), F.lit("-level "), subject, F.lit(" course")))
 
 
 def print_filename(code: Column) -> Column:

@@ -25,7 +25,7 @@ PREREQ_OR_COREQ_LABEL = r"(?i)\bPre-?requisites?\s+or\s+co-?requisites?\b\s*:?"
 PREREQ_LABEL = r"(?i)\bPre-?requisites?\b\s*:?"
 COREQ_LABEL = r"(?i)\bCo-?requisites?\b\s*:?"
 EMBEDDED_COREQ = r"(?i);\s*(co-?requisites?\s*:.*)$"
-MIN_GRADE = r"(?i)\bminimum grade of\s+([A-D][+-]?)(?![\w+-])"
+MIN_GRADE = r"(?i)\bminimum grade of\s+([A-D][+-]?)\b"
 CONSENT = r"(?i)\b(consent|permission)\s+of\s+(?:the\s+)?(instructor|department|program)"
 
 FIELDS = ("exclusion", "note", "coreq", "prereq", "prose")
@@ -40,7 +40,7 @@ def split_sentences(text: Column) -> Column:
     pieces = F.split(F.regexp_replace(text, MISSING_SPACE, ". "), SENTENCE_END, -1)
     for pattern in (NUMBER_START, INLINE_LABEL):
         pieces = F.flatten(F.transform(pieces, _splitter(pattern)))
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def route(sentence: Column) -> Column:

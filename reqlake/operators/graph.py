@@ -1,7 +1,8 @@
 """Chains of requirements: expansion by hops, shortest remaining plans, cycles.
 
-Every loop runs on the driver over hops or bands (a fixed few), works on tables, and writes each round's table so that a
-lost executor re-reads it.
+Every loop runs on the driver over hops or rounds, works on tables, and writes them so that a lost executor re-reads them.
+A path may not repeat a course.  Only courses of a cycle can repeat, so a path carries those it has visited in the cyclic
+component it is in, and nothing outside of one: paths that agree in these have the same future and are one row.
 """
 
 from __future__ import annotations
@@ -12,26 +13,62 @@ from pyspark.sql import functions as F
 from reqlake.storage import Scratch
 
 MOST_HOPS = 12
+HOPS_AT_ONCE = 4  #: hops of one written table
 
 
-def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS) -> DataFrame:
-    """root, node, hop, n_paths: how many chains lead from a root to a node in so many hops.
+def _steps(edges: DataFrame, members: DataFrame | None) -> DataFrame:
+    """(node, q, inside): the distinct edges; inside tells the component of q, and stays whether node is in it too."""
+    step = edges.select(F.col("p").alias("node"), "q").distinct()
+    if members is None:
+        return step.withColumn("inside", F.lit(None).cast("long")).withColumn("stays", F.lit(False))
+    of = lambda end, name: members.select(F.col("node").alias(end), F.col("cycle").alias(name))
+    step = step.join(of("q", "inside"), "q", "left").join(of("node", "_own"), "node", "left")
+    return step.withColumn("stays", F.coalesce(F.col("inside") == F.col("_own"), F.lit(False))).drop("_own")
+
+
+def _guard(guard: Column) -> Column:
+    """The visited courses of the component after a step to q."""
+    return F.when(F.col("inside").isNull(), F.array().cast("array<long>")).when(F.col("stays"), F.array_append(guard, F.col("q"))).otherwise(F.array("q"))
+
 
-    Paths are counted and not listed, so the table stays within roots times reachable nodes times hops.
+def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS, members: DataFrame | None = None) -> DataFrame:
+    """root, node, hop, n_paths: how many chains lead from a root to a node in so many hops, none through a course twice.
+
+    A path begins at the root's first step, so a loop through the root is met one hop later.  ``members`` is the result of
+    ``cycle_members``; without it the edges are taken to have no cycle.  Paths are counted and not listed, so without
+    cycles the table stays within roots times reachable nodes times hops.
     """
-    step = edges.select(F.col("p").alias("node"), "q").distinct()
-    work = scratch.save(edges.select(F.col("p").alias("root"), F.col("q").alias("node"), F.lit(0).alias("hop")).groupBy("root", "node", "hop").agg(F.count("*").alias("n_paths")), "hop-0")
-    found = [work]
-    for hop in range(1, most_hops):
-        work = work.join(step, "node").groupBy("root", F.col("q").alias("node")).agg(F.sum("n_paths").alias("n_paths"))
-        work = scratch.save(work.select("root", "node", F.lit(hop).alias("hop"), "n_paths"), f"hop-{hop}")
+    step = scratch.save(_steps(edges, members), "steps")
+    first = edges.select(F.col("p").alias("root"), F.col("p").alias("node"), "q").join(step, ["node", "q"])
+    first = first.select("root", F.col("q").alias("node"), F.when(F.col("inside").isNull(), F.array().cast("array<long>")).otherwise(F.array("q")).alias("guard"))
+    work = first.groupBy("root", "node", "guard").agg(F.count("*").alias("n_paths"))
+    found, hop = [], 0
+    while hop < most_hops:
+        tables = []
+        for at in range(hop, min(hop + HOPS_AT_ONCE, most_hops)):
+            if at:
+                grown = work.join(step, "node").where(~F.array_contains("guard", F.col("q")))
+                work = grown.select("root", F.col("q").alias("node"), _guard(F.col("guard")).alias("guard"), "n_paths").groupBy("root", "node", "guard").agg(F.sum("n_paths").alias("n_paths"))
+            tables.append(work.withColumn("hop", F.lit(at)))
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.union(more)
+        out = scratch.save(out, f"hops-{hop}")
+        found.append(out)
+        hop += HOPS_AT_ONCE
+        work = out.where(F.col("hop") == hop - 1).drop("hop")
         if work.isEmpty():
             break
-        found.append(work)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    return out.groupBy("root", "node", "hop").agg(F.sum("n_paths").alias("n_paths"))
+
+
+def capped_courses(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS, members: DataFrame | None = None) -> DataFrame:
+    """course: those with a chain that the cap on hops cuts."""
+    last = chain_expand(edges, scratch, most_hops, members).where(F.col("hop") == most_hops - 1)
+    return last.join(edges.select(F.col("p").alias("node")).distinct(), "node", "left_semi").select(F.col("root").alias("course")).distinct()
 
 
 def _ordered_union(lists: Column) -> Column:
@@ -67,31 +104,144 @@ def remaining_plans(courses: DataFrame, edges: DataFrame, scratch: Scratch, band
     return out
 
 
-def cyclic_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges (p, q) left when nodes without predecessor or successor are stripped again and again: cycles and
-    what lies between them."""
-    work, n, turn = scratch.save(edges.select("p", "q").distinct(), "core-0"), None, 0
-    while (now := work.count()) != n:
-        n, turn = now, turn + 1
-        work = work.join(work.select(F.col("p").alias("q")).distinct(), "q", "left_semi").join(work.select(F.col("q").alias("p")).distinct(), "p", "left_semi")
-        work = scratch.save(work.select("p", "q"), f"core-{turn}")
-    return work
+def student_plans(targets: DataFrame, edges: DataFrame, taken: DataFrame, members: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS) -> DataFrame:
+    """student, course, remaining: the shortest ordered plan of each target for a transcript.
+
+    ``targets`` has distinct (student, course), ``edges`` (p, q, rn, grp, external), ``taken`` distinct (student, pk), and
+    ``members`` is the result of ``cycle_members``.  A completed option needs nothing and a group with one is met; an
+    external option, one that is on the path already, and one at the cap on hops is a step without a plan of its own.  A
+    group's plan is its shortest option's (the first of equals), a course's the ordered union over its unmet groups.
+    Downwards, each course that a target needs is one row of a student, not one per path; plans are then built upwards.
+    """
+    none = F.array().cast("array<long>")
+    step = _steps(edges, members).withColumnRenamed("node", "p")
+    step = scratch.save(edges.select("p", "q", "rn", "grp", "external").join(step, ["p", "q"]), "student-steps")
+    done = taken.select("student", F.col("pk").alias("q"), F.lit(True).alias("done")).distinct()
+    front, levels = scratch.save(targets.select("student", F.col("course").alias("p"), none.alias("guard")), "front-0"), []
+    for hop in range(most_hops + 1):
+        below = front.join(step, "p").join(done, ["student", "q"], "left")
+        opens = F.col("done").isNull() & ~F.col("external") & ~F.array_contains("guard", F.col("q")) & F.lit(hop < most_hops)
+        below = below.select("student", "p", "guard", "grp", "rn", "q", F.coalesce("done", F.lit(False)).alias("done"), opens.alias("open"), _guard(F.col("guard")).alias("next"))
+        below = scratch.save(below, f"options-{hop}")
+        levels.append((front, below))
+        front = scratch.save(below.where("open").select("student", F.col("q").alias("p"), F.col("next").alias("guard")).distinct(), f"front-{hop + 1}")
+        if front.isEmpty():
+            break
+    known = None
+    for front, below in reversed(levels):
+        if known is not None:
+            below = below.join(known.select("student", F.col("p").alias("q"), F.col("guard").alias("next"), "remaining"), ["student", "q", "next"], "left")
+        else:
+            below = below.withColumn("remaining", F.lit(None).cast("array<long>"))
+        below = below.withColumn("plan", F.array_union(F.coalesce("remaining", none), F.array("q")))
+        group = below.groupBy("student", "p", "guard", "grp").agg(F.bool_or("done").alias("met"), F.min_by("plan", F.struct(F.size("plan"), "rn")).alias("best"))
+        course = group.where("not met").groupBy("student", "p", "guard").agg(F.array_sort(F.collect_list(F.struct("grp", "best"))).alias("g"))
+        course = course.select("student", "p", "guard", _ordered_union(F.col("g.best")).alias("remaining"))
+        known = front.join(course, ["student", "p", "guard"], "left").select("student", "p", "guard", F.coalesce("remaining", none).alias("remaining"))
+    return known.select("student", F.col("p").alias("course"), "remaining")
 
 
-def cycle_members(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, cycle: nodes that reach themselves, with the smallest node of their strongly connected component.
+def _stripped(edges: DataFrame, times: int) -> DataFrame:
+    """Edges between nodes that have a predecessor and a successor, so many layers of others taken off."""
+    for _ in range(times):
+        edges = edges.join(edges.select(F.col("p").alias("q")).distinct(), "q", "left_semi").join(edges.select(F.col("q").alias("p")).distinct(), "p", "left_semi").select("p", "q")
+    return edges
+
 
-    Reachability is closed over the cyclic core only, one more hop of every known pair a round.
+def _bypassed(edges: DataFrame) -> DataFrame:
+    """(v, u, w): nodes of one predecessor u and one successor w, no two of them neighbours, so all can be cut out at once."""
+    ins = edges.groupBy(F.col("q").alias("v")).agg(F.count("*").alias("n"), F.min("p").alias("u")).where("n = 1").drop("n")
+    outs = edges.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"), F.min("q").alias("w")).where("n = 1").drop("n")
+    simple = ins.join(outs, "v").withColumn("rank", F.struct(F.xxhash64("v"), "v"))
+    rank = lambda end: simple.select(F.col("v").alias(end), F.col("rank").alias(f"rank_{end}"))
+    near = simple.join(rank("u"), "u", "left").join(rank("w"), "w", "left")
+    higher = lambda end: F.coalesce(F.col("rank") > F.col(f"rank_{end}"), F.lit(True))
+    return near.where(higher("u") & higher("w")).select("v", "u", "w")
+
+
+def cyclic_core(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(core, loops, rounds): what is left of a graph whose nodes on no cycle are stripped and whose simple nodes are bypassed.
+
+    Both are done in turn until nothing changes; chains and rings shrink by a third of their nodes a round at least, whatever
+    their length.  loops has the nodes that came to precede themselves, rounds the (v, u, w) bypassed, first to last.
     """
-    core = cyclic_core(edges, scratch)
-    reach, new, turn = core.select(F.col("p").alias("a"), F.col("q").alias("b")), core.select(F.col("p").alias("a"), F.col("q").alias("b")), 0
-    while not new.isEmpty():
+    edges = edges.select("p", "q").distinct()
+    loops = edges.where("p = q").select(F.col("p").alias("node"))
+    work, rounds, size = scratch.save(edges.where("p <> q"), "core-0"), [], None
+    while True:
+        work = scratch.save(_stripped(work, 3), f"stripped-{len(rounds)}")
+        now = work.count()
+        if not now:
+            break
+        cut = scratch.save(_bypassed(work), f"bypassed-{len(rounds)}")
+        if cut.isEmpty() and now == size:
+            break
+        size = now
+        rounds.append(cut)
+        gone = cut.select(F.col("v").alias("p"))
+        kept = work.join(gone, "p", "left_anti").join(gone.withColumnRenamed("p", "q"), "q", "left_anti")
+        new = kept.select("p", "q").union(cut.select(F.col("u").alias("p"), F.col("w").alias("q"))).distinct()
+        loops = loops.union(cut.where("u = w").select(F.col("u").alias("node")))
+        work = scratch.save(new.where("p <> q"), f"core-{len(rounds)}")
+    return work, loops, rounds
+
+
+def _colour_components(core: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, cycle) of strongly connected components with two nodes or more.
+
+    Colouring: every node takes the smallest node that reaches it as its colour; those that reach that node within their
+    colour are its component.  They go, and what is left is coloured again.  A row a node and an edge, no pairs of nodes.
+    """
+    found, turn = [], 0
+    while not core.isEmpty():
         turn += 1
-        further = new.join(core.select(F.col("p").alias("b"), "q"), "b").select("a", F.col("q").alias("b")).distinct()
-        new = scratch.save(further.join(reach, ["a", "b"], "left_anti"), f"new-{turn}")
-        reach = scratch.save(reach.union(new), f"reach-{turn}")
-    mutual = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
-    return mutual.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("cycle"), F.count("*").alias("members"))
+        nodes = core.select(F.col("p").alias("node")).union(core.select("q")).distinct()
+        colour, round_, seen = scratch.save(nodes.withColumn("colour", F.col("node")), f"colour-{turn}-0"), 0, None
+        while True:
+            now = colour.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(20,0)"))).first()[0]
+            if now == seen:
+                break
+            seen, round_ = now, round_ + 1
+            for _ in range(2):
+                passed = core.join(colour.select(F.col("node").alias("p"), "colour"), "p").select(F.col("q").alias("node"), "colour")
+                colour = colour.union(passed).groupBy("node").agg(F.min("colour").alias("colour"))
+            colour = scratch.save(colour, f"colour-{turn}-{round_}")
+        same = core.join(colour.select(F.col("node").alias("p"), F.col("colour").alias("cycle")), "p").join(colour.select(F.col("node").alias("q"), F.col("colour").alias("cycle")), ["q", "cycle"])
+        same = scratch.save(same.select("p", "q", "cycle"), f"same-{turn}")
+        inside = new = scratch.save(colour.where("node = colour").select("node", F.col("colour").alias("cycle")), f"inside-{turn}-0")
+        round_ = 0
+        while not new.isEmpty():
+            round_ += 1
+            back = new.select(F.col("node").alias("q"), "cycle").join(same, ["q", "cycle"]).select(F.col("p").alias("node"), "cycle").distinct()
+            new = scratch.save(back.join(inside, ["node", "cycle"], "left_anti"), f"new-{turn}-{round_}")
+            inside = scratch.save(inside.union(new), f"inside-{turn}-{round_}")
+        found.append(inside)
+        gone = inside.select(F.col("node").alias("p"))
+        core = core.join(gone, "p", "left_anti").join(gone.withColumnRenamed("p", "q"), "q", "left_anti").select("p", "q")
+        core = scratch.save(_stripped(core, 2), f"left-{turn}")
+    if not found:
+        return None
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return scratch.save(out.join(out.groupBy("cycle").count().where("count > 1"), "cycle", "left_semi").select("node", "cycle"), "coloured")
+
+
+def cycle_members(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, cycle, members: nodes on a cycle, the smallest node of their strongly connected component, and its size."""
+    core, loops, rounds = cyclic_core(edges, scratch)
+    members = _colour_components(core, scratch)
+    loops = loops.distinct().withColumn("cycle", F.col("node"))
+    members = loops if members is None else members.union(loops.join(members, "node", "left_anti"))
+    members = scratch.save(members, "members")
+    for turn, cut in reversed(list(enumerate(rounds))):  # a bypassed node is on a cycle if its two neighbours are on the same
+        if cut.isEmpty():
+            continue
+        of = lambda end: members.select(F.col("node").alias(end), "cycle")  # noqa: E731, B023
+        more = cut.join(of("u"), "u").join(of("w"), ["w", "cycle"]).select(F.col("v").alias("node"), "cycle")
+        members = scratch.save(members.join(more, "node", "left_anti").select("node", "cycle").union(more), f"members-{turn}")
+    named = members.groupBy("cycle").agg(F.min("node").alias("least"), F.count("*").alias("members"))
+    return members.join(named, "cycle").select("node", F.col("least").alias("cycle"), "members")
 
 
 def reaching(edges: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:

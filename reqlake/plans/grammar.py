@@ -71,18 +71,26 @@ class Vocabulary:
     def course(self) -> str:
         return rf"({self.subject})\s+({NUMBER})"
 
+    @property
+    def _codes_by_name(self) -> Column:
+        return F.create_map(*[F.lit(x) for name, code in self.names for x in (name.lower(), code)])
+
     def spelled(self, text: Column) -> Column:
-        """Names directly before a number become codes, the longest names first."""
-        for name, code in sorted(self.names, key=lambda n: (-len(n[0]), n[0])):
-            text = F.regexp_replace(text, rf"(?i)\b{re.escape(name)}\s+(?=\d)", f"{code} ")
-        return text
+        """Names directly before a number become codes; where names overlap, the longest that begins first."""
+        if not self.names:
+            return text
+        names = "|".join(re.escape(n).replace("\\ ", " ") for n, _ in sorted(self.names, key=lambda n: (-len(n[0]), n[0])))
+        pattern = rf"(?i)\b(?:{names})\s+(?=\d)"
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        codes = F.transform(found, lambda f: F.try_element_at(self._codes_by_name, F.lower(F.regexp_replace(f, r"\s+$", ""))))
+        rest = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
+        spelled = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(codes, rest, lambda c, g: F.concat(c, F.lit(" "), g)), ""))
+        return F.when(F.size(found) > 0, spelled).otherwise(text)
 
     def code_of_name(self, name: Column) -> Column:
         """The code of a spelled name, or of an exact code; else null."""
-        found = F.when(name.rlike(f"^{self.subject}$"), F.upper(name))
-        for spelled, code in self.names:
-            found = F.when(F.lower(name) == spelled.lower(), code).otherwise(found)
-        return found
+        exact = F.when(name.rlike(f"^{self.subject}$"), F.upper(name))
+        return F.coalesce(F.try_element_at(self._codes_by_name, F.lower(name)), exact) if self.names else exact
 
 
 def _strip(text: Column) -> Column:

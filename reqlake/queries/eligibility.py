@@ -6,32 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlake.functions.codes import level_of, subject_of
-from reqlake.operators import evaluate, graph
+from reqlake.operators import evaluate, graph, render
 from reqlake.sources import catalogue as cat
 from reqlake.storage import Scratch, table
 
+GUARDED_HOPS = 8
+LADDER = 15  #: courses of a planted chain
+
 _PAIRS = f"""WITH {cat.SQL},
 need AS (SELECT p, count(DISTINCT grp) AS groups FROM edge GROUP BY p),
 met AS (SELECT student, p, count(DISTINCT grp) AS met FROM transcript t JOIN edge e ON e.q = t.pk GROUP BY student, p),
 conf AS (SELECT student, x.pk AS p, string_agg(x.ex :: VARCHAR, ',' ORDER BY x.ex) AS conflicts FROM excl x JOIN transcript t ON t.pk = x.ex GROUP BY student, x.pk),
 v AS (
-  SELECT m.student, m.p, c.code, m.met = n.groups AS satisfied, f.p IS NOT NULL AS blocked, d.pk IS NOT NULL AS already_completed, c.parse_status, c.has_unrepresented
-  FROM met m JOIN need n USING (p) JOIN course c ON c.pk = m.p LEFT JOIN conf f ON f.student = m.student AND f.p = m.p LEFT JOIN transcript d ON d.student = m.student AND d.pk = m.p),
+  SELECT s.student, c.pk AS p, c.code, n.p IS NULL OR coalesce(m.met = n.groups, false) AS satisfied, f.p IS NOT NULL AS blocked, d.pk IS NOT NULL AS already_completed, c.parse_status,
+         c.has_unrepresented, n.p IS NOT NULL AS has_tree
+  FROM (SELECT DISTINCT student FROM transcript) s CROSS JOIN course c LEFT JOIN need n ON n.p = c.pk LEFT JOIN met m ON m.student = s.student AND m.p = c.pk
+  LEFT JOIN conf f ON f.student = s.student AND f.p = c.pk LEFT JOIN transcript d ON d.student = s.student AND d.pk = c.pk),
 pairs AS (
   SELECT *, CASE WHEN blocked THEN false WHEN parse_status = 'unparsed' OR (satisfied AND has_unrepresented = 1) THEN NULL ELSE satisfied END AS eligible FROM v)
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.eligibility(cat.courses(spark, sf_dir), cat.edges(spark, sf_dir), cat.exclusions(spark, sf_dir), cat.transcript(spark, sf_dir))
+def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.defaults(cat.courses(spark, sf_dir), cat.edges(spark, sf_dir))
+
+
+def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = cat.transcript(spark, sf_dir)
+    met = evaluate.met_groups(taken, cat.edges(spark, sf_dir)).where("satisfied")
+    return evaluate.exceptions(_defaults(spark, sf_dir), met, evaluate.conflicts(taken, cat.exclusions(spark, sf_dir)))
+
+
+def course_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer of every course for a student who meets nothing of its tree: with ``eligible_courses`` this is the whole answer."""
+    return _defaults(spark, sf_dir).select("code", "satisfied", "eligible", "eligibility_unknown")
 
 
 def eligible_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("student", "code", "satisfied", "blocked", "eligible", "eligibility_unknown")
+    """Pairs of a student and a course whose tree the student meets, or that a conflict blocks."""
+    return _exceptions(spark, sf_dir).select("student", "code", "satisfied", "blocked", "eligible", "eligibility_unknown")
 
 
 def decision_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).withColumn("panel", evaluate.decision_panel()).groupBy("code", "panel").agg(F.count("*").alias("students"))
+    """How many of all students see which panel of every course."""
+    return evaluate.panel_counts(_defaults(spark, sf_dir), _exceptions(spark, sf_dir), cat.transcript(spark, sf_dir))
 
 
 def credit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +59,7 @@ def credit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclusion_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that would be eligible but for a conflict."""
-    return _pairs(spark, sf_dir).where("blocked and satisfied").select("student", "code", "eligible")
+    return _exceptions(spark, sf_dir).where("blocked and satisfied").select("student", "code", "eligible")
 
 
 def level_min_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +159,55 @@ def guarded_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reaching(ring, graph.cycle_members(ring, scratch), scratch).select(F.col("node").alias("course"))
 
 
+def chain_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of the catalogue with planted cycles, none through a course twice."""
+    scratch = Scratch(spark, "guard")
+    ring = _ring(spark, sf_dir, scratch)
+    return graph.chain_expand(ring, scratch, GUARDED_HOPS, scratch.save(graph.cycle_members(ring, scratch), "cycles"))
+
+
+def _ladder(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """The edges, with a chain planted downwards through the first LADDER courses of every hundred: keys fall along every edge."""
+    pk = cat.courses(spark, sf_dir).where(f"pk % 100 < {LADDER}").select("pk")
+    rungs = pk.select((F.col("pk") + 1).alias("p"), F.col("pk").alias("q")).join(pk.withColumnRenamed("pk", "p"), "p", "left_semi").select("p", "q")
+    return scratch.save(cat.edges(spark, sf_dir).select("p", "q").union(rungs).distinct(), "ladder")
+
+
+def capped_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses with a chain longer than the cap, in a catalogue with long chains planted."""
+    scratch = Scratch(spark, "capped")
+    return graph.capped_courses(_ladder(spark, sf_dir, scratch), scratch)
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """student, course: the course each student asks for."""
+    size = table(spark, sf_dir, "part").select(F.count("*")).scalar()
+    return cat.transcript(spark, sf_dir).select("student").distinct().withColumn("course", (F.col("student") * 31 + 7) % size)
+
+
+def student_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each student has still to take for the course asked for, in order."""
+    scratch = Scratch(spark, "student")
+    edges = scratch.save(cat.edges(spark, sf_dir).withColumn("external", F.lit(False)), "edges")
+    members = scratch.save(graph.cycle_members(edges, scratch), "cycles")
+    plans = graph.student_plans(_wanted(spark, sf_dir), edges, scratch.save(cat.transcript(spark, sf_dir), "taken"), members, scratch)
+    return plans.select("student", "course", F.size("remaining").cast("long").alias("n_remaining"), _joined("remaining").alias("remaining"))
+
+
+def marked_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the course each student asks for, with a mark at the courses that are completed."""
+    wanted = _wanted(spark, sf_dir).withColumnRenamed("course", "target")
+    done = cat.transcript(spark, sf_dir).select("student", F.col("pk").alias("code_pk"), F.lit(True).alias("done"))
+    nodes = cat.nodes(cat.edges(spark, sf_dir)).join(wanted, F.col("course") == F.col("target")).join(done, ["student", "code_pk"], "left")
+    nodes = nodes.withColumn("course", F.struct("student", "target"))
+    mark = F.when(F.col("done"), render.DONE).otherwise(render.OPEN)
+    return render.outline(nodes, cat.code_of(F.col("code_pk")), mark).select("course.student", F.col("course.target").alias("course"), "outline")
+
+
 def cycle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "points")
     ring = _ring(spark, sf_dir, scratch)
-    members = scratch.save(graph.cycle_members(ring, scratch).select("node", "cycle"), "members")
+    members = scratch.save(graph.cycle_members(ring, scratch).select("node", "cycle"), "cycles")
     inside = ring.join(members.select(F.col("node").alias("p"), F.col("cycle").alias("c")), "p").join(members.select(F.col("node").alias("q"), F.col("cycle").alias("c")), ["q", "c"]).select("p", "q")
     return graph.cycle_points(scratch.save(inside, "inside"), members, scratch)
 
@@ -173,16 +236,45 @@ checked AS (
   SELECT course, len(remaining) AS steps, (SELECT count(DISTINCT grp) FROM edge e WHERE e.p = course AND list_contains(remaining, e.q)) = groups AS satisfied,
          (SELECT count(DISTINCT grp) FROM edge e WHERE e.p = course AND list_contains(remaining[1:len(remaining) - 1], e.q)) = groups AS satisfied_without_last
   FROM plan JOIN need ON p = course WHERE len(remaining) > 0)"""
+_WANTED = "wanted AS (SELECT DISTINCT student, (student * 31 + 7) % (SELECT count(*) FROM part) AS course FROM transcript)"
+_LADDER = f"{cat.SQL}, ladder AS (SELECT p, q FROM edge UNION SELECT pk + 1, pk FROM course WHERE pk % 100 < {LADDER - 1} AND pk + 1 IN (SELECT pk FROM course))"
+
+
+def _student_sql() -> str:
+    """remaining plans of the courses that each student's target needs, lowest band first."""
+    steps = [f"""{cat.SQL}, {_WANTED},
+need(student, node) AS (SELECT student, course FROM wanted UNION
+  SELECT n.student, q FROM need n JOIN edge ON p = node WHERE NOT EXISTS (SELECT 1 FROM transcript t WHERE t.student = n.student AND t.pk = q)),
+s0 AS (SELECT student, node AS course, CAST([] AS BIGINT[]) AS remaining FROM need JOIN course ON pk = node WHERE band = 0)"""]
+    for b in range(1, cat.BANDS):
+        below = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(b))
+        steps.append(f"""
+so{b} AS (
+  SELECT n.student, e.p, e.grp, e.rn, r.course IS NULL AS done, CASE WHEN list_contains(r.remaining, e.q) THEN r.remaining ELSE list_append(r.remaining, e.q) END AS plan
+  FROM need n JOIN edge e ON e.p = n.node JOIN course c ON c.pk = e.p AND c.band = {b} LEFT JOIN transcript t ON t.student = n.student AND t.pk = e.q
+  LEFT JOIN ({below}) r ON r.student = n.student AND r.course = e.q AND t.pk IS NULL),
+sg{b} AS (SELECT student, p, grp, arg_min(plan, len(plan) * 100 + rn) AS best FROM so{b} GROUP BY student, p, grp HAVING NOT bool_or(done)),
+sf{b} AS (SELECT student, p, flatten(list(best ORDER BY grp)) AS steps FROM sg{b} GROUP BY student, p),
+s{b} AS (
+  SELECT n.student, c.pk AS course, CASE WHEN f.p IS NULL THEN CAST([] AS BIGINT[]) ELSE list_filter(f.steps, lambda x, i: list_position(f.steps, x) = i) END AS remaining
+  FROM need n JOIN course c ON c.pk = n.node AND c.band = {b} LEFT JOIN sf{b} f ON f.student = n.student AND f.p = c.pk)""")
+    return "WITH RECURSIVE " + ", ".join(steps) + ", plan AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(cat.BANDS)) + ")"
+
+
 _REACH = f"WITH RECURSIVE {_RING}, reach(a, b) AS (SELECT p, q FROM ring UNION SELECT a, q FROM reach JOIN ring ON p = b)"
 
 QUERIES = {
-    "eligible_courses": eligible_courses, "decision_panel": decision_panel, "credit_conflicts": credit_conflicts, "exclusion_blocks": exclusion_blocks, "level_min_match": level_min_match,
+    "eligible_courses": eligible_courses, "course_defaults": course_defaults, "decision_panel": decision_panel, "credit_conflicts": credit_conflicts, "exclusion_blocks": exclusion_blocks, "level_min_match": level_min_match,
     "coreq_status": coreq_status, "unknown_completed": unknown_completed, "fallback_banner": fallback_banner, "chain_expand": chain_expand, "remaining_plan": remaining_plan,
     "or_alternatives": or_alternatives, "round_trip": round_trip, "plan_order": plan_order, "dataset_cycles": dataset_cycles, "guarded_courses": guarded_courses, "cycle_points": cycle_points,
+    "chain_guarded": chain_guarded, "capped_courses": capped_courses, "student_plan": student_plan, "marked_outline": marked_outline,
 }
 
 ORACLE_SQL = {
-    "eligible_courses": f"{_PAIRS} SELECT student, code, satisfied, blocked, eligible, eligible IS NULL AS eligibility_unknown FROM pairs",
+    "eligible_courses": f"{_PAIRS} SELECT student, code, satisfied, blocked, eligible, eligible IS NULL AS eligibility_unknown FROM pairs WHERE (has_tree AND satisfied) OR blocked",
+    "course_defaults": f"""WITH {cat.SQL}, d AS (SELECT *, pk NOT IN (SELECT p FROM edge) AS satisfied FROM course),
+        e AS (SELECT *, CASE WHEN parse_status = 'unparsed' OR (satisfied AND has_unrepresented = 1) THEN NULL ELSE satisfied END AS eligible FROM d)
+        SELECT code, satisfied, eligible, eligible IS NULL AS eligibility_unknown FROM e""",
     "decision_panel": f"""{_PAIRS} SELECT code, CASE WHEN blocked THEN 'blocked' WHEN already_completed THEN 'already completed' WHEN eligible IS NULL THEN 'unknown'
         WHEN eligible THEN 'eligible' ELSE 'needs' END AS panel, count(*) AS students FROM pairs GROUP BY ALL""",
     "credit_conflicts": f"{_PAIRS} SELECT student, p, conflicts FROM conf",
@@ -203,6 +295,15 @@ ORACLE_SQL = {
     "round_trip": f"{_CHECKS} SELECT course, steps, satisfied FROM checked",
     "plan_order": f"{_CHECKS} SELECT course, satisfied_without_last FROM checked WHERE steps > 1",
     "dataset_cycles": f"{_REACH} SELECT x.a AS node, min(x.b) AS cycle, count(*) AS members FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
+    "chain_guarded": f"""WITH RECURSIVE {_RING}, path(root, seen, hop) AS (SELECT p, [q], 0 FROM ring UNION ALL
+          SELECT root, list_append(seen, q), hop + 1 FROM path JOIN ring ON p = seen[len(seen)] WHERE hop < {GUARDED_HOPS - 1} AND NOT list_contains(seen, q))
+        SELECT root, seen[len(seen)] AS node, hop, count(*) AS n_paths FROM path GROUP BY ALL""",
+    "capped_courses": f"""WITH RECURSIVE {_LADDER}, reach(root, node, hop) AS (SELECT p, q, 0 FROM ladder UNION SELECT root, q, hop + 1 FROM reach JOIN ladder ON p = node WHERE hop < {graph.MOST_HOPS})
+        SELECT DISTINCT root AS course FROM reach WHERE hop = {graph.MOST_HOPS}""",
+    "student_plan": f"{_student_sql()} SELECT w.student, w.course, len(remaining) AS n_remaining, array_to_string(remaining, ',') AS remaining FROM wanted w JOIN plan p ON p.student = w.student AND p.course = w.course",
+    "marked_outline": f"""WITH {cat.SQL}, {cat.NODES_SQL}, {_WANTED} SELECT w.student, w.course, string_agg(repeat('    ', depth :: INT) || CASE type WHEN 'AND' THEN 'ALL of these' WHEN 'OR' THEN 'ANY ONE of these'
+          ELSE CASE WHEN t.pk IS NULL THEN '{render.OPEN}' ELSE '{render.DONE}' END || concat('SUB', chr(CAST(65 + code_pk % 25 AS INT)), ' ', CAST(100 + CAST(floor(code_pk / 25) AS INT) AS VARCHAR)) END, chr(10) ORDER BY path) AS outline
+        FROM wanted w JOIN node n ON n.course = w.course LEFT JOIN transcript t ON t.student = w.student AND t.pk = n.code_pk GROUP BY ALL""",
     "guarded_courses": f"{_REACH} SELECT DISTINCT a AS course FROM reach WHERE b IN (SELECT a FROM reach WHERE a = b) UNION SELECT a FROM reach WHERE a = b",
     "cycle_points": f"""{_REACH}, scc AS (SELECT x.a AS node, min(x.b) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
         inside AS (SELECT p, q FROM ring JOIN scc s ON s.node = p JOIN scc t ON t.node = q AND s.c = t.c),

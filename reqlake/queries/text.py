@@ -54,9 +54,9 @@ def parse_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def implied_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rt.texts(spark, sf_dir).where("x is not null and pk % 10 <> 7")
+    rows = rt.texts(spark, sf_dir).where("y is not null")
     text = grammar.expand_bare_numbers(F.concat("x", F.lit(" or "), "ys", F.lit(", 300-level")), F.col("subject"), _vocabulary(spark, sf_dir))
-    return rows.where("y is not null").select("code", text.alias("expanded"))
+    return rows.select("code", text.alias("expanded"))
 
 
 def credit_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def credit_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def negation_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusion sentences inside a requirement give candidates and never a tree."""
-    rows = rt.texts(spark, sf_dir).where("exclusion is not null and sentence is not null and pk % 10 <> 7")
+    rows = rt.texts(spark, sf_dir).where("exclusion is not null and sentence is not null")
     rows = rows.select("pk", "code", F.concat_ws(" ", "sentence", "exclusion").alias("t"), F.col("subject").alias("home"))
     out = grammar.parse(rows, "pk", "t", "home", _vocabulary(spark, sf_dir)).join(rows.select("pk", "code"), "pk")
     return out.select("code", "tree", F.array_join("candidates", ",").alias("candidates"))
@@ -135,9 +135,9 @@ ORACLE_SQL = {
         count(sentence) AS with_prereq, count(intro) AS with_prose FROM texts""",
     "parse_generated": f"""{_WITH} SELECT code, tree, read_status AS parse_status, CASE WHEN read_status = 'parsed' THEN 0 ELSE 1 END :: BIGINT AS n_notes,
         CASE WHEN x IS NOT NULL AND pk % 20 = 5 THEN 'a reading list agreed in advance' ELSE '' END AS unrepresented FROM tree""",
-    "implied_subject": f"{_WITH} SELECT code, concat(x, ' or ', y, ', 300-level') AS expanded FROM texts WHERE y IS NOT NULL AND pk % 10 <> 7",
+    "implied_subject": f"{_WITH} SELECT code, concat(x, ' or ', y, ', 300-level') AS expanded FROM texts WHERE y IS NOT NULL",
     "credit_exclusions": f"{_WITH} SELECT code, ex_code AS excludes FROM texts WHERE exclusion IS NOT NULL",
-    "negation_strip": f"{_WITH} SELECT code, tree, concat(code, ',', ex_code) AS candidates FROM tree WHERE exclusion IS NOT NULL AND sentence IS NOT NULL AND pk % 10 <> 7",
+    "negation_strip": f"{_WITH} SELECT code, tree, concat(code, ',', ex_code) AS candidates FROM tree WHERE exclusion IS NOT NULL AND sentence IS NOT NULL",
     "asides": f"{_WITH} SELECT code, concat('not required, mentioned only as an aside: ', code, ' recommended') AS note FROM texts WHERE pk % 30 = 1 AND x IS NOT NULL",
     "coverage_audit": f"{_WITH} SELECT code, read_status AS parse_status, code AS dropped, '' AS invented, 'warn' AS severity FROM tree WHERE pk % 30 = 1 AND x IS NOT NULL",
     "outlier_words": f"""WITH found AS (

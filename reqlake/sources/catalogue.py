@@ -47,12 +47,13 @@ def code_of(pk: Column) -> Column:
     return F.concat(F.lit("SUB"), F.char((65 + pk % SUBJECTS).cast("int")), F.lit(" "), (100 + F.floor(pk / SUBJECTS).cast("int")).cast("string"))
 
 
-def _band(pk: Column, size: int) -> Column:
+def _band(pk: Column, size: Column) -> Column:
     return F.floor(pk * BANDS / size).cast("int")
 
 
-def _size(spark: SparkSession, sf_dir: str) -> int:
-    return (table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1
+def _size(spark: SparkSession, sf_dir: str) -> Column:
+    """One more than the largest key, as a scalar subquery."""
+    return table(spark, sf_dir, "part").select(F.coalesce(F.max("p_partkey"), F.lit(0)) + 1).scalar()
 
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from reqlake import registry
 from reqlake.functions import codes, sentences
-from reqlake.operators import evaluate, graph
+from reqlake.operators import evaluate, graph, trees
 from reqlake.storage import Scratch
 from reqlake.streaming import completed
 
@@ -33,12 +35,16 @@ def small(spark):
 def verdicts(spark, small, done):
     courses, edges, exclusions = small
     taken = spark.createDataFrame([(1, pk, i + 1) for i, pk in enumerate(done)], "student long, pk long, pos int")
-    return {r.p: r for r in evaluate.eligibility(courses, edges, exclusions, taken).collect()}
+    default = evaluate.defaults(courses, edges)
+    met = evaluate.met_groups(taken, edges).where("satisfied")
+    found = {r.p: r for r in default.withColumn("blocked", F.lit(False)).collect()}
+    return found | {r.p: r for r in evaluate.exceptions(default, met, evaluate.conflicts(taken, exclusions)).collect()}
 
 
 def test_eligibility_is_three_valued(spark, small):
     got = verdicts(spark, small, [201])
     assert got[301].eligible is True and got[229].eligible is None
+    assert got[174].eligible is True and got[275].eligible is False and got[415].eligible is False and set(got) == set(BANDS)
     assert verdicts(spark, small, [274])[275].eligible is None  # met as far as the tree goes, but something is unrepresented
     assert verdicts(spark, small, [380])[415].eligible is False
     assert verdicts(spark, small, [380, 301])[415].eligible is True
@@ -54,15 +60,115 @@ def test_shortest_plans_in_walkable_order(spark, small):
     assert plans[415].remaining == [380, 274, 275, 301]
 
 
+# A small catalogue with levels, corequisites, courses of elsewhere and cycles: its trees by code
+MINI = {
+    "CMPUT 175": "O(CMPUT 174, ENCMP 100)", "CMPUT 201": "CMPUT 175", "CMPUT 275": "CMPUT 274", "CMPUT 301": "O(CMPUT 201, CMPUT 275)", "CMPUT 229": "O(CMPUT 201, CMPUT 275)",
+    "CMPUT 415": "A(O(CMPUT 229, E E 380, ECE 212), L(300 CMPUT))", "CMPUT 291": "CMPUT 175", "CMPUT 802": "CMPUT 800",
+}
+
+
+@pytest.mark.parametrize(
+    ("target", "done", "met"),
+    [
+        ("CMPUT 301", "CMPUT 201", True), ("CMPUT 301", "CMPUT 275", True), ("CMPUT 301", "", False), ("CMPUT 415", "CMPUT 229", False), ("CMPUT 415", "CMPUT 229|CMPUT 301", True),
+        ("CMPUT 415", "CMPUT 229|CMPUT 201", False), ("CMPUT 415", "CMPUT 229|MATH 314", False), ("CMPUT 415", "CMPUT 229|CMPUT 415", True), ("CMPUT 415", "E E 380|CMPUT 999", True),
+        ("CMPUT 175", "ENCMP 100", True), ("CMPUT 175", "", False), ("CMPUT 291", "CMPUT 175", True), ("CMPUT 802", "CMPUT 800", True),
+    ],
+)
+def test_trees_against_a_transcript(spark, target, done, met):
+    nodes = trees.nodes_of(spark.createDataFrame(list(MINI.items()), "code string, tree string"), "code", "tree")
+    taken = spark.createDataFrame([(7, c) for c in done.split("|") if c], "student long, code string")
+    out = {r.course for r in trees.satisfied_courses(nodes, taken).collect()}
+    assert (target in out) == met
+
+
+def test_nodes_of_trees(spark):
+    rows = spark.createDataFrame([(1, "A(O(X 101, E E 380), L(300 MA PH), O(A(Y 1, Z 2), W 3))"), (2, "X 101"), (3, None)], "k int, tree string")
+    out = {(r.course, r.path): (r.parent, r.ord, r.depth, r.type, r.code, r.subject, r.min_level) for r in trees.nodes_of(rows, "k", "tree").collect()}
+    assert out[1, "r"] == (None, 0, 0, "AND", None, None, None) and out[2, "r"] == (None, 0, 0, "COURSE", "X 101", None, None)
+    assert out[1, "r.1"] == ("r", 1, 1, "LEVEL_MIN", None, "MA PH", 300) and out[1, "r.0.1"] == ("r.0", 1, 2, "COURSE", "E E 380", None, None)
+    assert out[1, "r.2.0.1"] == ("r.2.0", 1, 3, "COURSE", "Z 2", None, None) and out[1, "r.2.1"][4] == "W 3" and len(out) == 11
+
+
+def plans(spark, edges, done, external=(), most_hops=12):
+    """remaining of course 1 for one student; edges are (p, q, group)."""
+    rows = [(p, q, i, g, q in external) for i, (p, q, g) in enumerate(edges)]
+    table = spark.createDataFrame(rows, "p long, q long, rn int, grp int, external boolean")
+    scratch = Scratch(spark, "test")
+    taken = spark.createDataFrame([(9, q) for q in done], "student long, pk long")
+    out = graph.student_plans(spark.createDataFrame([(9, 1)], "student long, course long"), table, taken, graph.cycle_members(table, scratch), scratch, most_hops)
+    return out.first().remaining
+
+
+def test_plans_for_a_transcript(spark):
+    edges = [(1, 2, 0), (1, 3, 0), (2, 4, 0), (4, 5, 0), (3, 6, 0)]
+    assert plans(spark, edges, []) == [6, 3] and plans(spark, edges, [4]) == [2] and plans(spark, edges, [3]) == [] and plans(spark, [(7, 8, 0)], []) == []
+    assert plans(spark, edges + [(1, 7, 1), (7, 6, 0)], []) == [6, 3, 7]
+    assert plans(spark, [(1, 2, 0), (1, 3, 1), (2, 4, 0)], [], external={2}) == [2, 3]
+    assert plans(spark, [(1, 2, 0), (2, 1, 0)], []) == [2, 1]  # the target is not on the path: the loop is met a hop later
+    assert plans(spark, [(1, 2, 0), (2, 3, 0), (3, 2, 0)], []) == [2, 3]
+    chain = [(i, i + 1, 0) for i in range(1, 16)]
+    assert plans(spark, chain, [], most_hops=12) == list(range(14, 1, -1))  # deeper courses are cut off
+
+
+def brute_cycles(edges):
+    reach = {a: {b for x, b in edges if x == a} for a in {x for e in edges for x in e}}
+    while True:
+        more = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    groups = {a: frozenset(b for b in r if a in reach[b]) for a, r in reach.items() if a in r}
+    return {a: (min(g), len(g)) for a, g in groups.items()}
+
+
 def test_cycles_are_found_and_guarded(spark):
-    edges = spark.createDataFrame([(900, 901), (901, 900), (902, 902), (903, 900), (904, 905)], "p long, q long")
+    rows = [(900, 901), (901, 900), (902, 902), (903, 900), (904, 905)]
+    edges = spark.createDataFrame(rows, "p long, q long")
     members = graph.cycle_members(edges, Scratch(spark, "test"))
-    assert {r.node: r.cycle for r in members.collect()} == {900: 900, 901: 900, 902: 902}
+    assert {r.node: (r.cycle, r.members) for r in members.collect()} == brute_cycles(rows) == {900: (900, 2), 901: (900, 2), 902: (902, 1)}
     assert {r.node for r in graph.reaching(edges, members, Scratch(spark, "test")).collect()} == {900, 901, 902, 903}
-    points = graph.cycle_points(graph.cyclic_core(edges, Scratch(spark, "test")), members.select("node"), Scratch(spark, "test"))
+    inside = edges.where("p in (900, 901, 902)")
+    points = graph.cycle_points(inside, members.select("node"), Scratch(spark, "test"))
     assert {(r.root, r.point) for r in points.collect()} == {(900, 901), (901, 900), (902, 902)}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cycles_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(101, 104), (rng.randrange(60), 103)]
+    out = graph.cycle_members(spark.createDataFrame(rows, "p long, q long"), Scratch(spark, "test")).collect()
+    assert {r.node: (r.cycle, r.members) for r in out} == brute_cycles(rows) and len(out) == len(brute_cycles(rows))
+
+
+def test_long_rings_and_chains_take_few_rounds(spark):
+    ring = [(i, (i + 1) % 1000) for i in range(1000)] + [(5000 + i, 5001 + i) for i in range(1000)] + [(5500, 3)]
+    scratch = Scratch(spark, "test")
+    edges = spark.createDataFrame(ring, "p long, q long")
+    assert len(graph.cyclic_core(edges, Scratch(spark, "test"))[2]) < 30
+    out = graph.cycle_members(edges, scratch).collect()
+    assert {(r.cycle, r.members) for r in out} == {(0, 1000)} and {r.node for r in out} == set(range(1000))
+
+
+def test_chains_stop_at_a_course_they_have_visited(spark):
+    rows = [(1, 2), (2, 1), (2, 3), (3, 4), (5, 1)]
+    edges, scratch = spark.createDataFrame(rows, "p long, q long"), Scratch(spark, "test")
+    out = graph.chain_expand(edges, scratch, members=graph.cycle_members(edges, scratch))
+    expected: dict = {}
+    paths = [(p, [q]) for p, q in rows]
+    while paths:
+        for root, at in paths:
+            key = (root, at[-1], len(at) - 1)
+            expected[key] = expected.get(key, 0) + 1
+        paths = [(root, at + [q]) for root, at in paths for p, q in rows if p == at[-1] and q not in at]
+    assert {(r.root, r.node, r.hop): r.n_paths for r in out.collect()} == expected
+
+
+def test_a_chain_of_thirteen_hops_is_capped(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "p long, q long")
+    assert {r.course for r in graph.capped_courses(edges, Scratch(spark, "test")).collect()} == {0, 1}
+
+
 def test_codes(spark):
     rows = spark.createDataFrame([(" cmput  301 ",), ("MA PH 351",), ("MATH 30-1",)], "c string")
     norm = codes.normalize_code(F.col("c"))
