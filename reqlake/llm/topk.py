@@ -1,10 +1,12 @@
 """Exact top-k by inner product over a vector-approximation file.
 
 Every component is quantised to one of ``CELLS`` cells of its dimension's range; the file of cell numbers is an eighth of
-the vectors.  With cell centres c and half widths w, the score of query q lies within q.c -+ sum |q| w.  One scan of the
-file against blocks of queries keeps what can still reach the best k lower bounds.  Then exact vectors are read in the
-order of the bounds: first the k most promising of a query, which gives an exact kth score, then the others whose upper
-bound reaches it; after those the result is certain.
+the vectors.  With cell centres c and half widths w, the score of query q lies within q.c -+ sum |q| w.  The queries are
+packed into blocks, and groups of blocks of a bounded size are broadcast, one group after the other, while the file stays
+where it is.  A first scan, of a bounded part of the file, gives every query a kth best lower bound; the scan of the whole
+file starts from it and keeps what can still reach the best k lower bounds.  Then exact vectors are read in the order of the
+bounds: first the k most promising of a query, which gives an exact kth score, then the others whose upper bound reaches
+it; after those the result is certain.  (The part of the first scan steers cost, never results.)
 """
 
 from __future__ import annotations
@@ -24,20 +26,28 @@ SCALE = 1024
 QUERY_EVERY = 100
 QUERY_BLOCK = 512  #: queries compared with a run of cells at once
 FILE_BLOCK = 4096  #: vectors in one block of the file
+GROUP_BYTES = 32_000_000  #: of queries broadcast at once
+FIRST_ROWS = 16  #: blocks of the file that the first scan reads, about
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(SCALE * x) of every component, of vectors without null or non-finite components."""
+    """(id, v): floor(SCALE * x) of every component, of rows with an id and without null or non-finite components."""
     x = F.col(vector_col)
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     v = F.transform(x, lambda e: F.floor(e.cast("double") * SCALE))
-    return rows.where(x.isNotNull() & F.col(id_col).isNotNull()).where(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(x.isNotNull() & F.col(id_col).isNotNull()).where(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _ranges(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest component of every dimension (as many rows as dimensions come to the driver)."""
-    rows = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()
-    return np.array([r.lo for r in rows], np.float64), np.array([r.hi for r in rows], np.float64)
+    """Least and largest component of every dimension (as many rows as dimensions come to the driver).
+
+    What a short vector lacks counts as 0, so a dimension that some vector lacks has 0 in its range.
+    """
+    rows = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).orderBy("d").collect()
+    total = vectors.count()
+    short = np.array([r.n < total for r in rows], bool)
+    lo, hi = np.array([r.lo for r in rows], np.float64), np.array([r.hi for r in rows], np.float64)
+    return np.where(short, np.minimum(lo, 0), lo), np.where(short, np.maximum(hi, 0), hi)
 
 
 def _padded(column: pa.Array, dims: int) -> np.ndarray:
@@ -55,45 +65,57 @@ def _quantise(lo: np.ndarray, width: np.ndarray) -> Callable:
             for at in range(0, len(batch), FILE_BLOCK):
                 part = batch.slice(at, FILE_BLOCK)
                 cells = np.clip((_padded(part.column(1), len(lo)) - lo) // width, 0, CELLS - 1).astype(np.uint8)
-                ids = part.column(0).to_numpy()
-                yield pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())], ["ids", "cells"])
+                ids, numbers = part.column(0).to_numpy(), part.column(2).to_numpy()
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (ids, cells, numbers)], ["ids", "cells", "numbers"])
 
     return run
 
 
 def _pack(dims: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("q")
         q = np.zeros((len(pdf), dims))
         for row, v in zip(q, pdf.v):
             row[: len(v)] = v
-        return pd.DataFrame({"qb": [pdf.qb.iloc[0]], "q_ids": [pdf.id.to_numpy(np.int64).tobytes()], "q": [q.tobytes()]})
+        return pd.DataFrame({"block": [pdf.block.iloc[0]], "q_rows": [pdf.q.to_numpy(np.int64).tobytes()], "q_ids": [pdf.id.to_numpy(np.int64).tobytes()], "vectors": [q.tobytes()]})
 
     return run
 
 
-def _scan(lo: np.ndarray, width: np.ndarray, k: int) -> Callable:
-    """Rows (qb, q_ids, q, ids, cells): what can be among a query's best k of the blocks this task has seen."""
+def _best(values: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row of k values or more, in rising order."""
+    return np.sort(np.partition(values, -k, axis=1)[:, -k:], axis=1)
+
+
+def _scan(lo: np.ndarray, width: np.ndarray, k: int, queries, bars=None) -> Callable:
+    """Rows (ids, cells, rows) of the file against broadcast query blocks.
+
+    Without ``bars``: (q, lower), the best k lower bounds of each query among what this task has seen.  With them, the kth
+    best lower bounds known: (q, c, lower, upper), what can be among a query's best k of what this task has seen.
+    """
     dims = len(lo)
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}  # best k lower bounds of each query so far
+        blocks = [(np.frombuffer(r, np.int64), np.frombuffer(i, np.int64), np.frombuffer(v, np.float64).reshape(-1, dims)) for r, i, v in queries.value]
+        known = [np.full((len(rows), k), -np.inf) for rows, _, _ in blocks]  # best k lower bounds of each query so far
+        start = [np.array([[bars.value.get(r, -np.inf)] for r in rows.tolist()]) for rows, _, _ in blocks] if bars is not None else None
         for batch in batches:
             for row in range(len(batch)):
-                qb, q_ids, q, ids, cells = (batch.column(c)[row].as_py() for c in range(5))
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q = np.frombuffer(q, np.float64).reshape(len(q_ids), dims)
-                centres = lo + (np.frombuffer(cells, np.uint8).reshape(len(ids), dims) + 0.5) * width
-                middle = q @ centres.T
-                slack = np.abs(q) @ width / 2
-                slack = slack * (1 + 1e-9) + 1e-6 + np.abs(middle).max(axis=1, initial=0) * 1e-9  # floating-point error
-                middle[q_ids[:, None] == ids[None, :]] = -np.inf
-                lower = middle - slack[:, None]
-                best = known.get(qb, np.full((len(q_ids), k), -np.inf))
-                best = np.sort(np.concatenate([best, lower], axis=1), axis=1)[:, -k:] if lower.shape[1] <= k else np.sort(np.concatenate([best, np.partition(lower, -k, axis=1)[:, -k:]], axis=1), axis=1)[:, -k:]
-                known[qb] = best
-                i, j = np.nonzero((middle + slack[:, None] >= best[:, :1]) & (middle > -np.inf))
-                yield pa.record_batch([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(lower[i, j]), pa.array((middle + slack[:, None])[i, j])], ["q", "c", "lower", "upper"])
+                ids, cells, numbers = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in enumerate((np.int64, np.uint8, np.int64)))
+                centres = lo + (cells.reshape(len(ids), dims) + 0.5) * width
+                for at, (rows, q_ids, q) in enumerate(blocks):
+                    middle = q @ centres.T
+                    slack = np.abs(q) @ width / 2
+                    slack = slack * (1 + 1e-9) + 1e-6 + np.abs(middle).max(axis=1, initial=0) * 1e-9  # floating-point error
+                    middle[q_ids[:, None] == ids[None, :]] = -np.inf
+                    lower, upper = middle - slack[:, None], middle + slack[:, None]
+                    known[at] = _best(np.concatenate([known[at], lower], axis=1), k)
+                    if bars is not None:
+                        i, j = np.nonzero((upper >= np.maximum(start[at], known[at][:, :1])) & (middle > -np.inf))
+                        yield pa.record_batch([pa.array(rows[i]), pa.array(numbers[j]), pa.array(lower[i, j]), pa.array(upper[i, j])], ["q", "c", "lower", "upper"])
+        if bars is None:
+            for best, (rows, _, _) in zip(known, blocks):
+                yield pa.record_batch([pa.array(np.repeat(rows, k)), pa.array(best.reshape(-1))], ["q", "lower"])
 
     return run
 
@@ -108,41 +130,59 @@ def exact_top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
     Scores are integer inner products of floor(SCALE * x); ties go to the smaller id; a query with fewer others has all.
     Vectors that are null or hold null or non-finite components, and null ids, take no part; an empty vector scores 0 and
-    short ones count as 0 where they end.  Repeated rows count once, and an id of several vectors has the least of them.
-    Scaled components must fit 31 bits for a score to fit a long.  An empty table gives no rows.
+    short ones count as 0 where they end.  Repeats of an id with its vector count once; an id of several vectors has each as
+    a candidate, of all ids but its own, and as a query of its own.  Scaled components must fit 31 bits for a score to fit
+    a long.  An empty table gives no rows.
     """
-    scratch = Scratch(rows.sparkSession, "topk")
-    vectors = scratch.save(integer_vectors(rows, id_col, vector_col), "vectors")
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "topk")
+    vectors = scratch.save(integer_vectors(rows, id_col, vector_col).distinct().withColumn("n", F.monotonically_increasing_id()), "vectors")
     lo, hi = _ranges(vectors)
     width = np.maximum((hi - lo) / CELLS, 1e-9) * (1 + 1e-9)
     dims = len(lo)
 
     # of equal vectors only the k + 1 smallest ids can be in a result; the limit runs before the shuffle too
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    candidates = vectors.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).select("id", "v")
-    file = scratch.save(candidates.mapInArrow(_quantise(lo, width), "ids binary, cells binary"), "cells")
+    candidates = vectors.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).select("id", "v", "n")
+    file = scratch.save(candidates.mapInArrow(_quantise(lo, width), "ids binary, cells binary, numbers binary"), "cells")
+    blocks_of_file = file.count()
+    first = scratch.save(file.where(F.pmod(F.xxhash64("ids"), F.lit(max(1, blocks_of_file // FIRST_ROWS))) == 0), "first-cells")
 
     queries = vectors.where(F.col("id") % query_every == 0)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("qb").applyInPandas(_pack(dims), "qb int, q_ids binary, q binary")
-    # every block of the file against every block of the stated queries
-    dealt = file.select("ids", "cells", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb")).join(packed, "qb").select("qb", "q_ids", "q", "ids", "cells")
-    found = scratch.save(dealt.mapInArrow(_scan(lo, width, k), "q long, c long, lower double, upper double"), "bounds")
+    n_queries = queries.count()
+    groups = max(1, -(-n_queries * max(dims, 1) * 8 // GROUP_BYTES))
+    blocks = max(1, -(-n_queries // (groups * QUERY_BLOCK)))
+    place = F.xxhash64("n")
+    packed = queries.select("id", "v", F.col("n").alias("q"), F.pmod(place, F.lit(groups)).alias("group"), F.pmod(F.shiftright(place, 20), F.lit(blocks)).alias("block"))
+    packed = packed.withColumn("block", F.col("group") * blocks + F.col("block"))
+    packed = scratch.save(packed.groupBy("block").applyInPandas(_pack(dims), "block long, q_rows binary, q_ids binary, vectors binary"), "queries")
+    # the stated queries against the whole file, one group of bounded size at a time
+    found = []
+    for group in range(groups):
+        own = packed.where(f"block >= {group * blocks} and block < {(group + 1) * blocks}")
+        asked = spark.sparkContext.broadcast([(bytes(r.q_rows), bytes(r.q_ids), bytes(r.vectors)) for r in own.collect()])
+        best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower")))
+        lowest = first.mapInArrow(_scan(lo, width, k, asked), "q long, lower double").withColumn("_rank", best).where(F.col("_rank") == k)
+        bars = spark.sparkContext.broadcast({r.q: r.lower for r in lowest.select("q", "lower").collect()})
+        found.append(scratch.save(file.mapInArrow(_scan(lo, width, k, asked, bars), "q long, c long, lower double, upper double"), f"bounds-{group}"))
+    bounds = found[0]
+    for more in found[1:]:
+        bounds = bounds.union(more)
 
     promising = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower"), "c"))
-    first = found.withColumn("_rank", promising).where(F.col("_rank") <= k).select("q", "c")
-    asked = vectors.where(F.col("id") % query_every == 0).select(F.col("id").alias("q"), F.col("v").alias("vq"))
+    top = bounds.withColumn("_rank", promising).where(F.col("_rank") <= k).select("q", "c")
+    ask = queries.select(F.col("n").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("vq"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        read = pairs.join(vectors.select(F.col("id").alias("c"), F.col("v").alias("vc")), "c").join(asked, "q")
-        return read.select("q", "c", _score("vq", "vc").alias("score"))
-
-    first = scratch.save(exact(first), "first")
-    bar = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
-    rest = found.join(bar, "q").where("bar is null or upper >= bar").select("q", "c").join(first.select("q", "c"), ["q", "c"], "left_anti")
-    scores = first.union(exact(rest))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    return scores.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("c").alias(id_col), "score")
+        read = pairs.join(vectors.select(F.col("n").alias("c"), F.col("id").alias("found"), F.col("v").alias("vc")), "c").join(ask, "q")
+        return read.select("q", "c", "query_id", "found", _score("vq", "vc").alias("score"))
+
+    top = scratch.save(exact(top), "first")
+    bar = top.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
+    rest = bounds.join(bar, "q").where("bar is null or upper >= bar").select("q", "c").join(top.select("q", "c"), ["q", "c"], "left_anti")
+    scores = top.union(exact(rest))
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "found", "c"))
+    return scores.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", F.col("found").alias(id_col), "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -577,6 +577,21 @@ def test_top_k_is_exact(spark):
     assert topk.exact_top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_many_groups_and_short_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_BYTES", 8 * 6 * 3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "FILE_BLOCK", 16)
+    rng = random.Random(12)
+    vectors = [(i, [rng.choice([0.5, 1.25, 2.0, 3.5]) for _ in range(rng.choice([3, 6]))]) for i in range(900)] + [(7, [9.0] * 6), (7, [8.0] * 6), (100, [4.0] * 6)]
+    ints = [(i, [int(1024 * x) for x in v] + [0] * (6 - len(v))) for i, v in vectors]
+    expected = []
+    for q, vq in [x for x in ints if x[0] % 100 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(vq, vc)), c) for c, vc in ints if c != q)[:10]
+        expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    out = topk.exact_top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == sorted(expected)
+
+
 # op10
 
 
