@@ -166,24 +166,25 @@ def cyclic_core(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     their length.  loops has the nodes that came to precede themselves, rounds the (v, u, w) bypassed, first to last.
     """
     edges = edges.select("p", "q").distinct()
-    loops = edges.where("p = q").select(F.col("p").alias("node"))
-    work, rounds, size = scratch.save(edges.where("p <> q"), "core-0"), [], None
+    loops, rounds, size, turn = edges.where("p = q").select(F.col("p").alias("node")), [], None, 0
+    work = scratch.save(edges.where("p <> q"), "core")
     while True:
-        work = scratch.save(_stripped(work, 3), f"stripped-{len(rounds)}")
+        work, turn = scratch.save(_stripped(work, 2), f"stripped-{turn}"), turn + 1
         now = work.count()
         if not now:
-            break
-        cut = scratch.save(_bypassed(work), f"bypassed-{len(rounds)}")
-        if cut.isEmpty() and now == size:
-            break
+            return work, loops, rounds
+        cut = scratch.save(_bypassed(work), f"bypassed-{turn}")
+        n_cut = cut.count()
+        if not n_cut and now == size:
+            return work, loops, rounds
         size = now
+        if not n_cut:
+            continue
         rounds.append(cut)
-        gone = cut.select(F.col("v").alias("p"))
-        kept = work.join(gone, "p", "left_anti").join(gone.withColumnRenamed("p", "q"), "q", "left_anti")
-        new = kept.select("p", "q").union(cut.select(F.col("u").alias("p"), F.col("w").alias("q"))).distinct()
         loops = loops.union(cut.where("u = w").select(F.col("u").alias("node")))
-        work = scratch.save(new.where("p <> q"), f"core-{len(rounds)}")
-    return work, loops, rounds
+        gone = cut.select(F.col("v").alias("p"))
+        kept = work.join(gone, "p", "left_anti").join(gone.withColumnRenamed("p", "q"), "q", "left_anti").select("p", "q")
+        work = scratch.save(kept.union(cut.where("u <> w").select(F.col("u").alias("p"), F.col("w").alias("q"))).distinct(), f"core-{turn}")
 
 
 def _colour_components(core: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -235,8 +236,6 @@ def cycle_members(edges: DataFrame, scratch: Scratch) -> DataFrame:
     members = loops if members is None else members.union(loops.join(members, "node", "left_anti"))
     members = scratch.save(members, "members")
     for turn, cut in reversed(list(enumerate(rounds))):  # a bypassed node is on a cycle if its two neighbours are on the same
-        if cut.isEmpty():
-            continue
         of = lambda end: members.select(F.col("node").alias(end), "cycle")  # noqa: E731, B023
         more = cut.join(of("u"), "u").join(of("w"), ["w", "cycle"]).select(F.col("v").alias("node"), "cycle")
         members = scratch.save(members.join(more, "node", "left_anti").select("node", "cycle").union(more), f"members-{turn}")
