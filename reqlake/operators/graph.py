@@ -62,6 +62,8 @@ def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS,
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
+    if members is None:  # no guards: one row already
+        return out.select("root", "node", "hop", "n_paths")
     return out.groupBy("root", "node", "hop").agg(F.sum("n_paths").alias("n_paths"))
 
 
@@ -162,17 +164,20 @@ def _bypassed(edges: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(core, loops, rounds): what is left of a graph whose nodes on no cycle are stripped and whose simple nodes are bypassed.
 
-    Both are done in turn until nothing changes; chains and rings shrink by a third of their nodes a round at least, whatever
-    their length.  loops has the nodes that came to precede themselves, rounds the (v, u, w) bypassed, first to last.
+    Both are done in turn until nothing changes (bypassing is put off while stripping halves the edges); chains and rings
+    shrink by a good part of their nodes a round, whatever their length.  loops has the nodes that came to precede themselves, rounds the (v, u, w) bypassed, first to last.
     """
     edges = edges.select("p", "q").distinct()
     loops, rounds, size, turn = edges.where("p = q").select(F.col("p").alias("node")), [], None, 0
     work = scratch.save(edges.where("p <> q"), "core")
     while True:
-        work, turn = scratch.save(_stripped(work, 2), f"stripped-{turn}"), turn + 1
+        work, turn = scratch.save(_stripped(work, 3), f"stripped-{turn}"), turn + 1
         now = work.count()
         if not now:
             return work, loops, rounds
+        if size is None or now < size / 2:  # stripping alone gets on fast
+            size = now
+            continue
         cut = scratch.save(_bypassed(work), f"bypassed-{turn}")
         n_cut = cut.count()
         if not n_cut and now == size:

@@ -146,8 +146,9 @@ def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every broken rule of the damaged catalogue: of its courses, its tree nodes, its references and its envelope."""
+    scratch = Scratch(spark, "findings")
     courses, nodes, edges = _damaged(spark, sf_dir)
-    scratch = Scratch(spark, "verify")
+    courses, nodes = scratch.save(courses, "courses"), scratch.save(nodes, "nodes")
     pk = F.col("pk")
     planted = courses.where("pk % 50 = 0").select(pk.alias("p"), pk.alias("q")).union(courses.where("pk % 80 = 1").select(pk.alias("p"), (pk + 1).alias("q"))).union(courses.where("pk % 80 = 1").select((pk + 1).alias("p"), pk.alias("q")))
     links = scratch.save(edges.select("p", "q").union(planted).distinct(), "links")

@@ -27,29 +27,31 @@ pairs AS (
 """
 
 
-def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.defaults(cat.courses(spark, sf_dir), cat.edges(spark, sf_dir))
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue's edges and the transcripts, written once for plans that read them several times."""
+    scratch = Scratch(spark, "eligible")
+    return scratch.save(cat.edges(spark, sf_dir), "edges"), scratch.save(cat.transcript(spark, sf_dir), "transcript")
 
 
-def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = cat.transcript(spark, sf_dir)
-    met = evaluate.met_groups(taken, cat.edges(spark, sf_dir)).where("satisfied")
-    return evaluate.exceptions(_defaults(spark, sf_dir), met, evaluate.conflicts(taken, cat.exclusions(spark, sf_dir)))
+def _exceptions(spark: SparkSession, sf_dir: str, edges: DataFrame, taken: DataFrame) -> DataFrame:
+    met = evaluate.met_groups(taken, edges).where("satisfied")
+    return evaluate.exceptions(evaluate.defaults(cat.courses(spark, sf_dir), edges), met, evaluate.conflicts(taken, cat.exclusions(spark, sf_dir)))
 
 
 def course_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer of every course for a student who meets nothing of its tree: with ``eligible_courses`` this is the whole answer."""
-    return _defaults(spark, sf_dir).select("code", "satisfied", "eligible", "eligibility_unknown")
+    return evaluate.defaults(cat.courses(spark, sf_dir), cat.edges(spark, sf_dir)).select("code", "satisfied", "eligible", "eligibility_unknown")
 
 
 def eligible_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a student and a course whose tree the student meets, or that a conflict blocks."""
-    return _exceptions(spark, sf_dir).select("student", "code", "satisfied", "blocked", "eligible", "eligibility_unknown")
+    return _exceptions(spark, sf_dir, *_saved(spark, sf_dir)).select("student", "code", "satisfied", "blocked", "eligible", "eligibility_unknown")
 
 
 def decision_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of all students see which panel of every course."""
-    return evaluate.panel_counts(_defaults(spark, sf_dir), _exceptions(spark, sf_dir), cat.transcript(spark, sf_dir))
+    edges, taken = _saved(spark, sf_dir)
+    return evaluate.panel_counts(evaluate.defaults(cat.courses(spark, sf_dir), edges), _exceptions(spark, sf_dir, edges, taken), taken)
 
 
 def credit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def credit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclusion_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that would be eligible but for a conflict."""
-    return _exceptions(spark, sf_dir).where("blocked and satisfied").select("student", "code", "eligible")
+    return _exceptions(spark, sf_dir, *_saved(spark, sf_dir)).where("blocked and satisfied").select("student", "code", "eligible")
 
 
 def level_min_match(spark: SparkSession, sf_dir: str) -> DataFrame:
