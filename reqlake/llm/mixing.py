@@ -26,6 +26,7 @@ SHARE = 1.5  #: words the mix takes, as a multiple of all words
 MOST_COPIES = 2  #: a source's target is at most so many times its size
 BLOCK_ROWS = 4096  #: documents a leaf of the reduction tree rounds, on average
 FAN_IN = 64  #: residuals an inner node of the tree combines
+REPEATS = 1 << 16  #: repeats of a row that are written out at once
 TRIES = 16  #: roundings of the last block, each with draws of its own, of which the one nearest to its sum is taken
 
 
@@ -112,10 +113,9 @@ def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_
     src = scratch.save(targets(sizes), "targets")
 
     # repeats of a row are counted before the shuffle and numbered, so that they too are dealt over the blocks, alike in every run
-    many = 1 << 16
     turns = sizes.groupBy("id", "source", "digest", "size").agg((F.count("*") - 1).alias("last"))
-    turns = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / many))).alias("high"))
-    turns = turns.select("id", "source", "digest", "size", F.explode(F.sequence(F.col("high") * many, F.least(F.col("last"), F.col("high") * many + many - 1))).alias("turn"))
+    turns = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / REPEATS))).alias("high"))
+    turns = turns.select("id", "source", "digest", "size", F.explode(F.sequence(F.col("high") * REPEATS, F.least(F.col("last"), F.col("high") * REPEATS + REPEATS - 1))).alias("turn"))
     named = src.withColumnRenamed("source", "_source")
     plan = turns.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -169,12 +169,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).cast("string")
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("rid"), F.col(source_col).cast("string").alias("rsource"), F.xxhash64(text).alias("rdigest"))
     out = rows.join(named, F.col("rid").eqNullSafe(F.col("id")) & F.col("rsource").eqNullSafe(F.col("source")) & (F.col("rdigest") == F.col("digest")))
-    copies = F.floor(F.col("total") / F.col("n"))
-    if not named.where("total % n > 0").isEmpty():  # some repeats come once more than others
-        turn = F.row_number().over(Window.partitionBy("id", "source", "digest").orderBy(F.xxhash64("row")))
-        out = out.withColumn("turn", turn)
-        copies = copies + F.when(F.col("turn") <= F.col("total") % F.col("n"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    out = out.withColumn("copies", F.floor(F.col("total") / F.col("n")))
+    even = out.where("copies > 0 and total % n = 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    if named.where("total % n > 0").isEmpty():
+        return even.select("row.*")
+    # some repeats come once more than others: equal rows are counted before the shuffle, and only different ones are ranked
+    uneven = out.where("total % n > 0").groupBy("id", "source", "digest", "row", "total", "n", "copies").agg(F.count("*").alias("m"))
+    rank = Window.partitionBy("id", "source", "digest").orderBy(F.xxhash64("row"), "row")
+    before = F.coalesce(F.sum("m").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("m"), F.col("total") % F.col("n") - before))
+    uneven = uneven.withColumn("times", F.col("copies") * F.col("m") + more).where("times > 0")
+    uneven = uneven.select("row", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))).alias("part")).repartition(F.xxhash64("row", "part"))
+    uneven = uneven.select("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("times") - F.col("part") * REPEATS).cast("int"))))
+    return even.union(uneven).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

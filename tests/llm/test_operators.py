@@ -285,6 +285,21 @@ def test_mix_of_many_sources_and_repeated_rows(spark):
     assert sum(len((r.text or "").split()) for r in mix.collect()) == sum(r.taken for r in out)
 
 
+def test_mix_writes_uneven_repeats_of_equal_and_unequal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 4)
+    rows = [(1, "three words here", "c", n) for n in [0] * 37 + [1] * 5 + [2]] + [(i, "w " * 10, "ab"[i % 2], i) for i in range(2, 82)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    wanted = sum(r.copies for r in mixing.mix_sources(table).where("doc_id = 1").collect())
+    assert wanted % 43
+    got = [tuple(r) for r in mixing.mixed(table).collect()]
+    ones = [r for r in got if r[0] == 1]
+    assert len(ones) == wanted
+    whole = wanted // 43
+    for n, m in ((0, 37), (1, 5), (2, 1)):
+        assert whole * m <= ones.count((1, "three words here", "c", n)) <= (whole + 1) * m
+    assert sorted(got) == sorted(tuple(r) for r in mixing.mixed(table.repartition(6)).collect())
+
+
 def test_pivotal_rounding_keeps_sums_and_expectations():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 50, 41).astype(float)
