@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, exact_dedup, langid, license_scan, mixing, ngram_join, sentencepiece_dropout, suffix_dedup, topk, warc
+from . import chat_rotation, exact_dedup, langid, lexical, license_scan, mixing, ngram_join, partitions, sentencepiece_dropout, spelling, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_sentencepiece_dropout": sentencepiece_dropout.op1_sentencepiece_dropout,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_learned_partitions": partitions.op11_learned_partitions,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
     "op9_exact_topk": topk.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
 }
