@@ -2,7 +2,8 @@
 
 Every loop runs on the driver over hops or rounds, works on tables, and writes them so that a lost executor re-reads them.
 A path may not repeat a course.  Only courses of a cycle can repeat, so a path carries those it has visited in the cyclic
-component it is in, and nothing outside of one: paths that agree in these have the same future and are one row.
+component it is in, as a set in canonical order, and nothing outside of one: paths that agree in these have the same future
+and are one row, whatever the order they went in.
 """
 
 from __future__ import annotations
@@ -10,25 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlake.operators import tree_plans
 from reqlake.storage import Scratch
 
-MOST_HOPS = 12
+MOST_HOPS = tree_plans.MOST_HOPS
 HOPS_AT_ONCE = 4  #: hops of one written table
 
 
 def _steps(edges: DataFrame, members: DataFrame | None) -> DataFrame:
-    """(node, q, inside): the distinct edges; inside tells the component of q, and stays whether node is in it too."""
+    """(node, q, inside, stays): the distinct edges, see ``tree_plans.with_components``."""
     step = edges.select(F.col("p").alias("node"), "q").distinct()
     if members is None:
         return step.withColumn("inside", F.lit(None).cast("long")).withColumn("stays", F.lit(False))
-    of = lambda end, name: members.select(F.col("node").alias(end), F.col("cycle").alias(name))
-    step = step.join(of("q", "inside"), "q", "left").join(of("node", "_own"), "node", "left")
-    return step.withColumn("stays", F.coalesce(F.col("inside") == F.col("_own"), F.lit(False))).drop("_own")
-
-
-def _guard(guard: Column) -> Column:
-    """The visited courses of the component after a step to q."""
-    return F.when(F.col("inside").isNull(), F.array().cast("array<long>")).when(F.col("stays"), F.array_append(guard, F.col("q"))).otherwise(F.array("q"))
+    return tree_plans.with_components(step, "node", "q", members)
 
 
 def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS, members: DataFrame | None = None) -> DataFrame:
@@ -48,7 +43,7 @@ def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS,
         for at in range(hop, min(hop + HOPS_AT_ONCE, most_hops)):
             if at:
                 grown = work.join(step, "node").where(~F.array_contains("guard", F.col("q")))
-                work = grown.select("root", F.col("q").alias("node"), _guard(F.col("guard")).alias("guard"), "n_paths").groupBy("root", "node", "guard").agg(F.sum("n_paths").alias("n_paths"))
+                work = grown.select("root", F.col("q").alias("node"), tree_plans.visited(F.col("guard"), F.col("q"), F.col("inside"), F.col("stays")).alias("guard"), "n_paths").groupBy("root", "node", "guard").agg(F.sum("n_paths").alias("n_paths"))
             tables.append(work.withColumn("hop", F.lit(at)))
         out = tables[0]
         for more in tables[1:]:
@@ -110,37 +105,23 @@ def student_plans(targets: DataFrame, edges: DataFrame, taken: DataFrame, member
     """student, course, remaining: the shortest ordered plan of each target for a transcript.
 
     ``targets`` has distinct (student, course), ``edges`` (p, q, rn, grp, external), ``taken`` distinct (student, pk), and
-    ``members`` is the result of ``cycle_members``.  A completed option needs nothing and a group with one is met; an
-    external option, one that is on the path already, and one at the cap on hops is a step without a plan of its own.  A
-    group's plan is its shortest option's (the first of equals), a course's the ordered union over its unmet groups.
-    Downwards, each course that a target needs is one row of a student, not one per path; plans are then built upwards.
+    ``members`` is the result of ``cycle_members``.  The edges are read as trees, all groups of one option each, and
+    ``tree_plans`` answers; an external option is a step without a plan of its own.
     """
-    none = F.array().cast("array<long>")
-    step = _steps(edges, members).withColumnRenamed("node", "p")
-    step = scratch.save(edges.select("p", "q", "rn", "grp", "external").join(step, ["p", "q"]), "student-steps")
-    done = taken.select("student", F.col("pk").alias("q"), F.lit(True).alias("done")).distinct()
-    front, levels = scratch.save(targets.select("student", F.col("course").alias("p"), none.alias("guard")), "front-0"), []
-    for hop in range(most_hops + 1):
-        below = front.join(step, "p").join(done, ["student", "q"], "left")
-        opens = F.col("done").isNull() & ~F.col("external") & ~F.array_contains("guard", F.col("q")) & F.lit(hop < most_hops)
-        below = below.select("student", "p", "guard", "grp", "rn", "q", F.coalesce("done", F.lit(False)).alias("done"), opens.alias("open"), _guard(F.col("guard")).alias("next"))
-        below = scratch.save(below, f"options-{hop}")
-        levels.append((front, below))
-        front = scratch.save(below.where("open").select("student", F.col("q").alias("p"), F.col("next").alias("guard")).distinct(), f"front-{hop + 1}")
-        if front.isEmpty():
-            break
-    known = None
-    for front, below in reversed(levels):
-        if known is not None:
-            below = below.join(known.select("student", F.col("p").alias("q"), F.col("guard").alias("next"), "remaining"), ["student", "q", "next"], "left")
-        else:
-            below = below.withColumn("remaining", F.lit(None).cast("array<long>"))
-        below = below.withColumn("plan", F.array_union(F.coalesce("remaining", none), F.array("q")))
-        group = below.groupBy("student", "p", "guard", "grp").agg(F.bool_or("done").alias("met"), F.min_by("plan", F.struct(F.size("plan"), "rn")).alias("best"))
-        course = group.where("not met").groupBy("student", "p", "guard").agg(F.array_sort(F.collect_list(F.struct("grp", "best"))).alias("g"))
-        course = course.select("student", "p", "guard", _ordered_union(F.col("g.best")).alias("remaining"))
-        known = front.join(course, ["student", "p", "guard"], "left").select("student", "p", "guard", F.coalesce("remaining", none).alias("remaining"))
-    return known.select("student", F.col("p").alias("course"), "remaining")
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    node = lambda rows, path, parent, ord_, depth, kind, code=none, external=F.lit(False): rows.select(
+        text("p").alias("course"), path.alias("path"), parent.alias("parent"), ord_.cast("int").alias("ord"), F.lit(depth).alias("depth"), F.lit(kind).alias("type"), code.alias("code"),
+        none.alias("subject"), F.lit(None).cast("int").alias("min_level"), external.alias("external"),
+    )
+    group = F.concat(F.lit("r."), text("grp"))
+    leaves = node(edges, F.concat(group, F.lit("."), text("rn")), group, F.col("rn"), 2, "COURSE", text("q"), F.col("external"))
+    nodes = leaves.union(node(edges.select("p", "grp").distinct(), group, F.lit("r"), F.col("grp"), 1, "OR")).union(node(edges.select("p").distinct(), F.lit("r"), none, F.lit(0), 0, "AND"))
+    courses = edges.select(text("p").alias("code")).union(edges.select(text("q"))).union(targets.select(text("course")))
+    named = members.select(text("node").alias("node"), text("cycle").alias("cycle"))
+    plans = tree_plans.tree_plans(targets.select("student", text("course").alias("course")), nodes, courses, taken.select("student", text("pk").alias("code")), named, scratch, most_hops)
+    remaining = F.transform("remaining", lambda k: tree_plans.completing(k).cast("long"))
+    return plans.select("student", F.col("course").cast("long").alias("course"), remaining.alias("remaining"))
 
 
 def _stripped(edges: DataFrame, times: int) -> DataFrame:
@@ -266,14 +247,14 @@ def cycle_points(core: DataFrame, entries: DataFrame, scratch: Scratch, most_hop
     The first node of a path is the entry's first step, so a cycle through the entry itself is met one hop later.
     """
     step = core.select(F.col("p").alias("last"), F.col("q").alias("nxt"))
-    work = entries.select(F.col("node").alias("last"), F.col("node").alias("root")).join(step, "last").select("root", F.array("nxt").alias("path"))
+    work = entries.select(F.col("node").alias("last"), F.col("node").alias("root")).join(step, "last").select("root", F.col("nxt").alias("last"), F.array("nxt").alias("seen"))
     points = []
     for hop in range(1, most_hops):
-        grown = work.withColumn("last", F.element_at("path", -1)).join(step, "last")
-        grown = scratch.save(grown.select("root", "path", "nxt", F.array_contains("path", F.col("nxt")).alias("stop")), f"guard-{hop}")
+        grown = work.join(step, "last")
+        grown = scratch.save(grown.select("root", "seen", "nxt", F.array_contains("seen", F.col("nxt")).alias("stop")), f"guard-{hop}")
         points.append(grown.where("stop").select("root", F.col("nxt").alias("point")).distinct())
-        work = grown.where("not stop").select("root", F.concat("path", F.array("nxt")).alias("path"))
-        if work.isEmpty():
+        work = grown.where("not stop").select("root", F.col("nxt").alias("last"), F.array_sort(F.array_append("seen", F.col("nxt"))).alias("seen")).distinct()
+        if grown.where("not stop").isEmpty():
             break
     out = points[0]
     for more in points[1:]:

@@ -120,19 +120,19 @@ def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes.rows(spark, sf_dir)
     read = grammar.parse(rows, "pk", "says", "home", shapes.vocabulary(spark, sf_dir))
     return Scratch(spark, "shapes").save(rows.select("pk", "code").join(read, "pk"), "read")
 
 
 def parse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shapes(spark, sf_dir).select("code", "tree", "parse_status", F.array_join("notes", "|").alias("notes"), F.array_join("unrepresented", "|").alias("unrepresented"))
+    return read_shapes(spark, sf_dir).select("code", "tree", "parse_status", F.array_join("notes", "|").alias("notes"), F.array_join("unrepresented", "|").alias("unrepresented"))
 
 
 def requirement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every requirement in the trees as a student reads it, and the key by which two are the same."""
-    leaves = trees.nodes_of(_shapes(spark, sf_dir), "code", "tree").where("type in ('COURSE', 'LEVEL_MIN')").withColumnRenamed("code", "needed")
+    leaves = trees.nodes_of(read_shapes(spark, sf_dir), "code", "tree").where("type in ('COURSE', 'LEVEL_MIN')").withColumnRenamed("code", "needed")
     known = cat.courses(spark, sf_dir).select(F.col("code").alias("needed"), F.lit(True).alias("known"))
     leaves = leaves.join(known, "needed", "left")
     kind, external = F.when(F.col("type") == "COURSE", "course").otherwise("level"), (F.col("type") == "COURSE") & F.col("known").isNull()
@@ -142,7 +142,7 @@ def requirement_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Students and courses whose whole tree, as read from the text, is met: levels and courses the catalogue lacks included."""
-    read = _shapes(spark, sf_dir)
+    read = read_shapes(spark, sf_dir)
     taken = cat.transcript(spark, sf_dir).select("student", cat.code_of(F.col("pk")).alias("code"))
     met = trees.satisfied_courses(trees.nodes_of(read, "code", "tree"), taken)
     own = read.select(F.col("code").alias("course"), "parse_status", (F.size("unrepresented") > 0).cast("int").alias("gaps"))

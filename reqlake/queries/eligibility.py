@@ -181,7 +181,7 @@ def capped_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.capped_courses(_ladder(spark, sf_dir, scratch), scratch)
 
 
-def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """student, course: the course each student asks for."""
     size = table(spark, sf_dir, "part").select(F.count("*")).scalar()
     return cat.transcript(spark, sf_dir).select("student").distinct().withColumn("course", (F.col("student") * 31 + 7) % size)
@@ -192,15 +192,15 @@ def student_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "student")
     edges = scratch.save(cat.edges(spark, sf_dir).withColumn("external", F.lit(False)), "edges")
     members = scratch.save(graph.cycle_members(edges, scratch), "cycles")
-    plans = graph.student_plans(_wanted(spark, sf_dir), edges, scratch.save(cat.transcript(spark, sf_dir), "taken"), members, scratch)
+    plans = graph.student_plans(wanted(spark, sf_dir), edges, scratch.save(cat.transcript(spark, sf_dir), "taken"), members, scratch)
     return plans.select("student", "course", F.size("remaining").cast("long").alias("n_remaining"), _joined("remaining").alias("remaining"))
 
 
 def marked_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of the course each student asks for, with a mark at the courses that are completed."""
-    wanted = _wanted(spark, sf_dir).withColumnRenamed("course", "target")
+    asked = wanted(spark, sf_dir).withColumnRenamed("course", "target")
     done = cat.transcript(spark, sf_dir).select("student", F.col("pk").alias("code_pk"), F.lit(True).alias("done"))
-    nodes = cat.nodes(cat.edges(spark, sf_dir)).join(wanted, F.col("course") == F.col("target")).join(done, ["student", "code_pk"], "left")
+    nodes = cat.nodes(cat.edges(spark, sf_dir)).join(asked, F.col("course") == F.col("target")).join(done, ["student", "code_pk"], "left")
     nodes = nodes.withColumn("course", F.struct("student", "target"))
     mark = F.when(F.col("done"), render.DONE).otherwise(render.OPEN)
     return render.outline(nodes, cat.code_of(F.col("code_pk")), mark).select("course.student", F.col("course.target").alias("course"), "outline")
