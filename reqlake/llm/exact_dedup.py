@@ -108,16 +108,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeats of a kept row (same id and text) one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of several rows of the id that stays, the one of the least text in byte order stays (`HELLO`, not `hello`); of those with
+    equal texts the least as JSON.  So the result does not depend on how the rows are partitioned.
+    """
     scratch = Scratch(docs.sparkSession, "keep")
     keep = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).count()
     keep = scratch.save(keep, "keep")
     sha = F.sha2(fold_case(F.col(text_col).cast("string")).cast("binary"), 256)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("rid"), sha.alias("rsha"))
-    out = rows.join(keep, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rsha") == F.col("sha")), "left_semi")
-    if not keep.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["rid", "rsha"])
-    return out.select("row.*")
+    of = lambda kept: rows.join(kept, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rsha") == F.col("sha")), "left_semi")
+    if keep.where("count > 1").isEmpty():
+        return of(keep).select("row.*")
+    repeated = of(keep.where("count > 1")).withColumn("order", F.struct(F.col("row")[text_col].cast("string").alias("text"), F.to_json("row").alias("all")))
+    chosen = repeated.groupBy("rid", "rsha").agg(F.min_by("row", "order").alias("row"))
+    return of(keep.where("count = 1")).select("row").union(chosen.select("row")).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

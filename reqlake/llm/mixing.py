@@ -4,8 +4,9 @@ A source's target over its size is the expected number of copies of each of its
 rounded dependently: two documents with fractional probabilities exchange mass (probability times size) at random until
 one of them is integral, so every document keeps its expectation and the source keeps its sum of words exactly.  Blocks
 of documents are rounded side by side and each leaves one fractional document; those residuals meet in blocks of
-blocks, level after level, until one document a source is left and rounded alone.  That last block is rounded several times
-and the rounding that ends nearest to the sum is taken, since a single large document may be left where a source has few.
+blocks, level after level, until one document a source is left and rounded alone, by a draw of its own.  That last rounding
+is the only one that moves a source's sum: by less than that document's size.  Large documents meet first, so it is mostly a
+small one, but where a source has few documents a large one may be left.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ MOST_COPIES = 2  #: a source's target is at most so many times its size
 BLOCK_ROWS = 4096  #: documents a leaf of the reduction tree rounds, on average
 FAN_IN = 64  #: residuals an inner node of the tree combines
 REPEATS = 1 << 16  #: repeats of a row that are written out at once
-TRIES = 16  #: roundings of the last block, each with draws of its own, of which the one nearest to its sum is taken
 
 
 def _sizes(batches):
@@ -91,16 +91,11 @@ def _round_block(seed: int, depth: int, last: bool) -> Callable:
         order = np.lexsort((turn, digest, ids, key, -pdf["size"]))
         pdf = pdf.iloc[order].reset_index(drop=True)
         size, start = pdf["size"].to_numpy(np.float64), pdf.p.to_numpy(np.float64)
-        best, least = start, np.inf
-        for turn in range(TRIES if last else 1):
-            draws = (mix(key[order], 31 + turn) >> np.uint64(11)) / float(1 << 53)
-            p = pivotal(size, start, draws)
-            if last:
-                p = np.where((p > 0) & (p < 1), (draws < p).astype(float), p)
-            gap = abs((size * (p - start)).sum())
-            if gap < least:
-                best, least = p, gap
-        return pdf.assign(p=best)
+        draw = lambda turn: (mix(key[order], turn) >> np.uint64(11)) / float(1 << 53)
+        p = pivotal(size, start, draw(31))
+        if last:  # the one that is left has a draw of its own, independent of the exchanges
+            p = np.where((p > 0) & (p < 1), (draw(32) < p).astype(float), p)
+        return pdf.assign(p=p)
 
     return run
 

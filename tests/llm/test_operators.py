@@ -7,6 +7,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,21 @@ def test_pivotal_rounding_keeps_sums_and_expectations():
     assert np.abs(hits / 3000 - 0.3).max() < 0.05
 
 
+@pytest.mark.parametrize("n", [2, 5, 50])
+def test_last_blocks_keep_expectations(n):
+    """Mean copies over many seeds, the last document's included, are the probabilities."""
+    rng = np.random.default_rng(n)
+    size = np.array([100, 90, 10, 7, 3] * (n // 5) or [40, 3], float)
+    pdf = pd.DataFrame({"id": np.arange(n), "digest": rng.integers(1 << 60, size=n), "turn": 0, "size": size.astype(int), "p": 0.375})
+    seeds = 3000 if n < 50 else 800
+    hits = np.zeros(n)
+    for seed in range(seeds):
+        out = mixing._round_block(seed, 1, True)(pdf)
+        assert set(out.p) <= {0.0, 1.0} and abs((out.p - 0.375) @ out["size"]) <= 100
+        hits[out.id] += out.p
+    assert np.abs(hits / seeds - 0.375).max() < 4.5 * np.sqrt(0.375 * 0.625 / seeds)
+
+
 def test_mix_tree_of_several_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
@@ -635,6 +651,14 @@ def test_exact_dedup_keeps_one_row_of_repeats(spark, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_exact_dedup_survivor_does_not_depend_on_partitions(spark):
+    rows = [(7, "Hello World"), (7, "hello world"), (7, "HELLO WORLD"), (7, "HELLO WORLD"), (3, "hello world"), (8, "other"), (None, "Text"), (None, "tEXT")]
+    for turn, parts in enumerate((1, 2, 3, 7)):
+        docs = frame(spark, rows[turn:] + rows[:turn]).repartition(parts)
+        out = sorted(((r.doc_id or 0, r.text) for r in exact_dedup.exact_duplicates_dropped(docs).collect()))
+        assert out == [(0, "Text"), (7, "HELLO WORLD"), (8, "other")]
+
+
 # the SQL of the registered queries
 
 
