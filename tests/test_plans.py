@@ -25,7 +25,7 @@ CASES = [
     ("CMPUT 415", "", "E E 380, CMPUT 300+", {"r.0": "CMPUT 274, CMPUT 275, CMPUT 229 | E E 380 | ECE 212"}, ""), ("CMPUT 175", "", "CMPUT 174", {"r": "CMPUT 174 | ENCMP 100"}, ""),
     ("CMPUT 175", "ENCMP 100", None, {"r": "CMPUT 174"}, ""), ("CMPUT 174", "", None, {}, ""), ("CMPUT 900", "", "CMPUT 901, CMPUT 900", {}, "cycle at CMPUT 901"),
     ("CMPUT 902", "", "CMPUT 902", {}, "cycle at CMPUT 902"),
-    ("DEEP 1", "CMPUT 174", "CMPUT 175, MATH 200+", {"r.0": "CMPUT 175, MATH 200+ | CMPUT 274, CMPUT 275", "r.0.1.0": "CMPUT 175, CMPUT 201 | CMPUT 274, CMPUT 275"}, ""),
+    ("DEEP 1", "CMPUT 174", "CMPUT 175, MATH 200+", {"r.0": "CMPUT 175, MATH 200+ | CMPUT 175, CMPUT 201", "r.0.1.0": "CMPUT 175, CMPUT 201 | CMPUT 274, CMPUT 275"}, ""),
     ("DEEP 1", "CMPUT 275, CMPUT 174", None, {"r.0": "CMPUT 175, MATH 200+", "r.0.1.0": "CMPUT 175, CMPUT 201"}, ""),
     ("LOST 1", "", "CMPUT 902", {"r": "CMPUT 902 | CMPUT 174, CMPUT 274"}, "cycle at CMPUT 902"),
     ("LONG 100", "", ", ".join(f"LONG {i}" for i in range(113, 100, -1)), {}, "chain cut at LONG 113"), ("LONG 106", "", ", ".join(f"LONG {i}" for i in range(116, 106, -1)), {}, ""),
