@@ -13,15 +13,13 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE_DOCS = 400  #: labelled documents a language that training reads, about: those of the smallest keyed hashes of the id
-SAMPLE_PASSAGES = 110  #: of their passages, those of the smallest hashes make the dictionary
-PASSAGE_CHARS = 1_000
-SAMPLE_PARTS = 64  #: parts in which a language's passages are ranked first
+SAMPLE_DOCS = 110  #: distinct labelled texts a language that training reads, about: those of the smallest keyed hashes
+PASSAGE_CHARS = 1_000  #: all passages of those documents, of so many characters each, make the dictionary
 BLOCK_BYTES, COPIES = 4_096, 4  #: of a text: bytes encoded at once, and how many times in a row
 NARROW = 0.004  #: relative margin below which a text is rejected
 HELD_OUT_MOD = 5
@@ -33,26 +31,23 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content by language, the language of most labelled documents first.
+    """Raw dictionary content by language, the language of most distinct labelled texts first.
 
-    It is learned from a bounded sample: passages of whole labelled texts (see the constants), SAMPLE_PASSAGES a language at
-    most, which is also all that comes to the driver.  Equal passages count once, and a label goes with its own row's text.
+    It is learned from a bounded sample of texts, about SAMPLE_DOCS a language, of which every passage is used; those passages
+    are all that comes to the driver.  Texts are drawn, not ids, so neither many rows of an id nor many copies of a text
+    change how much is learned.  Equal passages count once, and a label goes with its own row's text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text"))
     rows = rows.where("id is not null and lang is not null").where(~held_out(F.col("id")))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()  # a row a language
     if not counts:
         return {}
     scale = 1 << 31
     shares = docs.sparkSession.createDataFrame([(r.lang, min(scale, SAMPLE_DOCS * scale // max(1, r.n))) for r in counts], "lang string, share long")
-    chosen = rows.where("text <> ''").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), F.col("id")), F.lit(scale)) < F.col("share"))
+    chosen = rows.where("text <> ''").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), F.col("text")), F.lit(scale)) < F.col("share"))
     passages = chosen.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("passage")).distinct()
-    passages = passages.withColumn("hash", F.xxhash64("passage")).withColumn("part", F.pmod("hash", F.lit(SAMPLE_PARTS)))
-    for keys in (["lang", "part"], ["lang"]):  # no task gathers a language, or what many tasks kept of one
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "passage"))
-        passages = passages.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PASSAGES)
     content: dict[str, list[str]] = {r.lang: [] for r in sorted(counts, key=lambda r: (-r.n, r.lang))}
-    for r in passages.select("lang", "rank", "passage").orderBy("lang", "rank").collect():
+    for r in sorted(passages.withColumn("hash", F.xxhash64("passage")).collect(), key=lambda r: (r.hash, r.passage)):
         content[r.lang].append(r.passage)
     return {lang: "\n".join(parts).encode("utf-8", "replace") for lang, parts in content.items()}
 
@@ -75,7 +70,7 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
 
 
 def classify(text: str | None, made: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
-    """(language, score, rejected) of one whole text; ties go to the language with more training documents."""
+    """(language, score, rejected) of one whole text; ties go to the language of more distinct training texts."""
     if not made or not any(map(str.isalpha, text or "")):
         return "und", 0.0, True
     data, sizes = text.lower().encode("utf-8", "replace"), [0] * len(made)

@@ -3,7 +3,8 @@
 Blocks are windows of ``BLOCK`` words every ``STRIDE`` words, so any ``BLOCK - STRIDE + 1`` consecutive words lie in one.
 A block meets a template T when it holds at least ``THRESHOLD`` of T's distinct words, and agrees with T on the telling words
 of its family: it holds those that T has and none of the others (one word tells a Lesser or Affero license from the
-general one, which no share of common words can outvote).  Template words are ordered by how many documents of the corpus
+general one, which no share of common words can outvote).  A telling word counts only inside a license's name, that is
+directly after a word that it follows in a template: "gnu lesser", but not "a copy of the lesser license".  Template words are ordered by how many documents of the corpus
 hold them, rarest first.  A block that meets T
 
 * holds one of T's first |T| - need + 1 words (prefix filter), need = ceil(THRESHOLD * |T|);
@@ -81,6 +82,27 @@ def telling_words(words: list[str]) -> tuple[list[str], list[str]]:
     return [t for t in family if t in words], [t for t in family if t not in words]
 
 
+def names_before() -> dict[str, tuple[str, ...]]:
+    """Of each telling word, the words that stand directly before it in the templates."""
+    told = sorted({t for family in TELLING.values() for t in family})
+    texts = [re.sub(SEPARATORS, " ", text.lower()).split() for _, text in TEMPLATES]
+    return {t: tuple(sorted({ws[i - 1] for ws in texts for i in range(1, len(ws)) if ws[i] == t})) for t in told}
+
+
+def named(words: Column) -> Column:
+    """The words with every telling word outside a license's name blotted out, each at its place."""
+    before = names_before()
+
+    def kept(word: Column, at: Column) -> Column:
+        previous = F.when(at > 0, F.get(words, at - 1))
+        out = word
+        for told, names in before.items():
+            out = F.when((word == told) & ~F.coalesce(previous.isin(*names), F.lit(False)), F.lit("")).otherwise(out)
+        return out
+
+    return F.when(F.arrays_overlap(words, _literal(list(before))), F.transform(words, kept)).otherwise(words)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(fold_case(text), SEPARATORS), lambda w: w != "")
 
@@ -110,7 +132,7 @@ def matching_blocks(words: DataFrame, ranked: list[tuple[int, str, list[str], in
         templates.append((i, label, len(ws), need, (1 << len(ws)) - 1, sum(1 << ws.index(w) for w in must), sum(1 << len(ws) + r for r in range(len(mustnt)))))
     sizes = spark.createDataFrame(templates, "template int, label string, size int, need int, own long, must long, mustnt long")
     prefixes = sorted({w for w, _, _, prefix in lexicon if prefix})
-    hits = words.where(F.arrays_overlap("words", _literal(prefixes))).select(key, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    hits = words.where(F.arrays_overlap("words", _literal(prefixes))).select(key, F.size("words").alias("n"), F.posexplode(named(F.col("words"))).alias("at", "word"))
     hits = hits.join(F.broadcast(spark.createDataFrame(lexicon, "word string, template int, place int, prefix boolean")), "word").withColumn("first_block", F.floor(F.col("at") / STRIDE).cast("int"))
     per_word = BLOCK // STRIDE
     hits = hits.select(key, "n", "template", "place", "prefix", F.explode(F.filter(F.sequence(F.col("first_block") - per_word + 1, F.col("first_block")), lambda b: b >= 0)).alias("block"))
@@ -176,6 +198,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    names = " OR ".join(f"(w[i + 1] = '{told}' AND w[i] IN ({', '.join(repr(b) for b in before)}))" for told, before in names_before().items())
+    stray = f"w[i + 1] IN ({', '.join(repr(t) for t in names_before())}) AND NOT coalesce({names}, false)"
     phrases = ", ".join(f"({i}, '{p}', '{label}', {len(p.split())})" for i, (p, label) in enumerate(PHRASES.items()))
     tokens = ", ".join(f"({i}, '{label}', '{w}', {len(ws)})" for i, label, ws in template_words() for w in ws)
     telling = ", ".join(f"({i}, '{w}', {w in ws})" for i, _, ws in template_words() for side in telling_words(ws) for w in side)
@@ -190,7 +214,7 @@ telling(t, word, wanted) AS (VALUES {telling}),
 place AS (
   SELECT doc_id, i, label FROM (SELECT doc_id, w, p, label, unnest(range(0, len(w))) AS i FROM docs, phrase) WHERE {places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
-word AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i, len(w) AS n FROM docs),
+word AS (SELECT doc_id, CASE WHEN {stray} THEN '' ELSE w[i + 1] END AS word, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM docs)),
 told AS (
   SELECT DISTINCT doc_id, b.b AS b, word.word AS word FROM word JOIN (SELECT DISTINCT word FROM telling) USING (word), LATERAL (SELECT unnest([i // {STRIDE}, i // {STRIDE} - 1]) AS b) b),
 hit AS (

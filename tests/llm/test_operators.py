@@ -362,7 +362,7 @@ def test_look_alike_licenses_get_one_label(spark):
     rows = [(i, f"{some_prose(rng, 5 + 13 * i)} {notice[k]}. {some_prose(rng, 70)}") for i, k in enumerate(notice)]
     rows.append((100, f"{notice['lgpl'].replace('Lesser', 'Lesser (not Affero)')} {some_prose(rng, 99)}"))
     out = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, rows)).collect()}
-    assert out == {i: k for i, k in enumerate(notice)} | {100: ""}
+    assert out == {i: k for i, k in enumerate(notice)} | {100: "lgpl"}
     assert all(len(words) <= 58 for _, _, words in license_scan.template_words())
 
 
@@ -574,7 +574,7 @@ def test_language_is_told_on_held_out_texts(spark):
 
 
 def test_language_training_reads_rows_not_ids(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE_PASSAGES", 20)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
     monkeypatch.setattr(langid, "PASSAGE_CHARS", 50)
     rows = languages()
     rows += [(5000, f"repeated words number {i}", "bb" if i % 2 else "aa") for i in range(300)] + [(5000, "a row without label", None)] * 3 + [(5001, "same text again", "cc")] * 50
@@ -583,10 +583,11 @@ def test_language_training_reads_rows_not_ids(spark, monkeypatch):
 
     content = langid.train(table)
     for lang, data in content.items():
-        passages = data.decode().split("\n")
-        own = [t.lower() for i, t, k in rows if k == lang and t and i is not None and zlib.crc32(str(i).encode()) % 5]
-        assert 10 < len(passages) <= 20 and len(set(passages)) == len(passages)
-        assert all(any(p in t for t in own) for p in passages)
+        passages = set(data.decode().split("\n"))
+        own = {t.lower() for i, t, k in rows if k == lang and t and i is not None and zlib.crc32(str(i).encode()) % 5}
+        cut = {t: {t[j : j + 50] for j in range(0, len(t), 50)} for t in own}
+        used = [t for t in own if cut[t] <= passages]
+        assert 5 < len(used) < 60 and set().union(*[cut[t] for t in used]) == passages  # whole texts: no passage of a chosen one is left out
 
 
 # op9
@@ -680,12 +681,25 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(map(text, r)) for r in out.select(*columns).collect()) == sorted(tuple(map(text, r)) for r in oracle.select(*columns).fetchall())
 
 
+def test_telling_words_count_inside_a_name_only(spark):
+    notice = dict(license_scan.TEMPLATES)
+    rng = random.Random(9)
+    stray = {"gpl": "a copy of the lesser license and an affero one", "cc-by": "no noncommercial clause, sharealike or noderivatives", "cc-by-nc": "sharealike is not asked for"}
+    rows = [(n, f"{some_prose(rng, at)} {before} {notice[k]}. {after} {some_prose(rng, 9)}", k) for n, (k, at, before, after) in enumerate(
+        (k, at, *words) for k, s in stray.items() for at in (0, 7, 31, 60) for words in ((s, ""), ("", s), (s, s))
+    )]
+    rows += [(900, "lesser " + notice["gpl"], "gpl")]
+    out = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, [r[:2] for r in rows])).collect()}
+    assert out == {n: k for n, _, k in rows}
+
+
 def test_license_sql_of_notices(spark):
     import duckdb
 
     notice = dict(license_scan.TEMPLATES)
     rng = random.Random(5)
     rows = [(i, f"{some_prose(rng, 17 * i)} {notice[k]}. {some_prose(rng, 20)} {notice[rng.choice(list(notice))]}") for i, k in enumerate(list(notice) * 2)]
+    rows += [(100 + i, f"lesser {notice[k]}. A copy of the lesser license, noncommercial, affero {some_prose(rng, i)}") for i, k in enumerate(notice)]
     db = duckdb.connect()
     db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
