@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqlake.plans.grammar import NUMBER
+from reqlake.storage import Scratch
 
 # Words the grammar knows, in the order of their kinds (structure, nouns, qualifiers).
 KNOWN_WORDS = (
@@ -20,15 +22,58 @@ KNOWN_WORDS = (
 )
 WORD = r"[A-Za-z][A-Za-z'-]+"
 UNKNOWN_CODE = rf"\b([A-Z][A-Za-z]{{1,7}}(?: [A-Z]{{1,4}})?)\s+({NUMBER})\b"
+# From what length a text is long, and how much of each finding is shown.
 LONG_CHARS, SNIPPET_CHARS, SHAPE_CHARS, LABEL_CHARS, EXAMPLES = 220, 110, 90, 80, 5
-
-
-def ranked(findings: DataFrame, limit: int) -> DataFrame:
-    """finding, n, examples: the findings that touch most keys, with the first few of those; (key, finding) rows may repeat."""
+TRACKED = 65_536  #: findings the sketch of a task keeps
+CANDIDATES = 60  #: findings recounted, a bit each of a long
+SKETCH_LOAD, SKETCH_ERROR = 0.75, 3.5  #: of Spark's frequency sketch: its load factor, its error times slots over rows
+
+
+def _sketched(findings: DataFrame, tracked: int) -> tuple[list[str], int]:
+    """The findings of most rows by a mergeable frequency sketch, and the most rows that any other finding can have."""
+    row = findings.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(finding, {CANDIDATES}, {tracked})").alias("top")).first()
+    top = row["top"] or []
+    slots = 1 << math.ceil(math.log2(tracked / SKETCH_LOAD))
+    off = 0 if row["n"] <= tracked else math.ceil(SKETCH_ERROR * row["n"] / slots)  # what an estimate can be off
+    return [r["item"] for r in top], max(2 * off, top[-1]["count"] + off if len(top) == CANDIDATES else 0)
+
+
+def ranked(findings: DataFrame, limit: int, tracked: int = TRACKED) -> DataFrame:
+    """finding, n, examples: the findings that touch most keys, with the first few of those.
+
+    (key, finding) rows may repeat, and count once; rows without a key or a finding do not count; no rows give none.
+
+    A sketch of fixed size names the candidates; their keys are recounted exactly, one row a key with a bit per candidate, so
+    no (key, finding) pair is shuffled.  A finding touches no more keys than it has rows: if the last one listed has more keys
+    than any finding outside the candidates can have rows, the list is exact.  If not (flat counts), all pairs are counted.
+    """
+    spark, findings = findings.sparkSession, findings.where("key is not null and finding is not null")
+    candidates, others = _sketched(findings, tracked)
+    if not candidates:
+        return _counted(findings, limit)
+    bits = F.create_map(*[F.lit(x) for i, c in enumerate(candidates) for x in (c, 1 << i)])
+    masks = findings.where(F.col("finding").isin(*candidates)).groupBy("key").agg(F.bit_or(bits[F.col("finding")]).alias("mask"))
+    masks = Scratch(spark, "ranked").save(masks, "masks")
+    has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    n = masks.agg(*[F.count_if(has(i)) for i in range(len(candidates))]).first()
+    best = sorted(((c, n[i], i) for i, c in enumerate(candidates)), key=lambda r: (-r[1], r[0]))[:limit]
+    if others > 0 and not (len(best) == limit and best[-1][1] > others):
+        return _counted(findings, limit)
+    keys = masks.select("key", F.explode(F.array_compact(F.array(*[F.when(has(i), F.lit(i)) for _, _, i in best]))).alias("bit"))
+    examples = _smallest(keys, "bit").groupBy("bit").agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("examples"))
+    return examples.join(F.broadcast(spark.createDataFrame(best, "finding string, n long, bit int")), "bit").select("finding", "n", "examples")
+
+
+def _smallest(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of the smallest few keys of each group; Spark drops the others before the shuffle."""
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy("key"))).where(F.col("i") <= EXAMPLES)
+
+
+def _counted(findings: DataFrame, limit: int) -> DataFrame:
+    """``ranked`` by counting every pair."""
     distinct = findings.select("key", "finding").distinct()
     top = distinct.groupBy("finding").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "finding").limit(limit)
-    # a common finding has as many keys as there are rows: only the smallest few of each are kept, before the shuffle
-    some = distinct.join(F.broadcast(top), "finding").withColumn("i", F.row_number().over(Window.partitionBy("finding").orderBy("key"))).where(F.col("i") <= EXAMPLES)
+    some = _smallest(distinct.join(F.broadcast(top), "finding"), "finding")
     return some.groupBy("finding", "n").agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("examples"))
 
 
