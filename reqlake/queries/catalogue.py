@@ -9,6 +9,7 @@ from reqlake.functions.codes import level_of, normalize_code, print_filename as
 from reqlake.operators import graph, quality, render
 from reqlake.sources import catalogue as cat
 from reqlake.sources import pages as html
+from reqlake.sources.markup import BLOCKS
 from reqlake.storage import Scratch, table
 from reqlake.streaming import completed
 
@@ -247,7 +248,8 @@ finding AS (
   UNION ALL SELECT 'duplicate', 'error', code, count(*) :: VARCHAR FROM bad WHERE code IS NOT NULL GROUP BY code HAVING count(*) > 1
   UNION ALL SELECT 'course count', 'error', NULL, n || ' ' || total FROM (SELECT count(*) FILTER (WHERE pk % 400 < 399) AS n, count(*) AS total FROM bad) WHERE n <> total)"""
 _VISIBLE = "regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|noscript)\\b.*?</(?:script|style|noscript)>', '', 'g')"
-_PLAIN = "trim(regexp_replace(regexp_replace({0}, '(?s)<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g'))"
+_RESOLVED = "regexp_replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"  # the character references that the pages hold
+_PLAIN = _RESOLVED.format("trim(regexp_replace(regexp_replace({0}, '(?s)<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g'))")
 
 QUERIES = {
     "catalogue_project": catalogue_project, "catalogue_search": catalogue_search, "subject_counts": subject_counts, "status_breakdown": status_breakdown, "status_by_subject": status_by_subject,
@@ -282,12 +284,12 @@ ORACLE_SQL = {
         FROM node GROUP BY course""",
     "coreq_line": f"{_C} SELECT pk AS course, {_CODE.format('(pk + 1)')} || ' or ' || {_CODE.format('(pk + 2)')} AS line FROM course",
     "print_filename": f"{_C} SELECT code, replace(code, ' ', '') || '_Graph' AS filename FROM course",
-    "page_links": f"""WITH l AS (SELECT page_id, regexp_extract_all({_VISIBLE}, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS l FROM pages), d AS (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM l)
+    "page_links": f"""WITH l AS (SELECT page_id, list_transform(regexp_extract_all({_VISIBLE}, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1), lambda h: {_RESOLVED.format('h')}) AS l FROM pages), d AS (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM l)
         SELECT page_id, unnest(range(0, len(l))) :: INT AS pos, unnest(l) AS link FROM d""",
     "page_heading": f"""WITH t AS (SELECT page_id, url, {_PLAIN.format(f"regexp_extract({_VISIBLE}, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS t FROM pages)
         SELECT page_id, coalesce(nullif(t, ''), list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/'))) AS title, t <> '' AS has_heading FROM t""",
     "page_first_para": f"""WITH a AS (SELECT page_id, string_split_regex(regexp_replace({_VISIBLE}, '(?is)^.*?</h1>', ''), '(?i)<p(?:\\s[^>]*)?>')[2:] AS ps FROM pages)
-        SELECT page_id, list_filter(list_transform(ps, lambda p: {_PLAIN.format("regexp_replace(p, '(?is)</p>.*$', '')")}), lambda t: length(t) >= {html.LEAST_CHARS})[1] AS description FROM a""",
+        SELECT page_id, list_filter(list_transform(ps, lambda p: {_PLAIN.format("regexp_replace(p, '(?is)(?:</p>|</?(?:" + "|".join(sorted(BLOCKS - {"p"})) + ")\\b).*$', '')")}), lambda t: length(t) >= {html.LEAST_CHARS})[1] AS description FROM a""",
     "completed_state": """WITH e AS (SELECT user_id, event_id % 50 AS item, ts, event_id, event_type FROM events),
         l AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, event_id DESC) AS rn FROM e)
         SELECT user_id, item, event_type NOT IN ('purchase', 'logout') AS completed FROM l WHERE rn = 1""",

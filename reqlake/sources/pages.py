@@ -1,12 +1,13 @@
-"""Catalogue pages as raw HTML: links, headings, paragraphs, in order of appearance, as column expressions."""
+"""Catalogue pages: links, headings and paragraphs out of the elements that ``markup`` reads, in order of appearance."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reqlake.sources.markup import with_elements
+
 HIDDEN = r"(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)>"
-HREF = r'(?i)<a\b[^>]*\bhref="([^"]*)"'
 HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
 PARAGRAPH_END = r"(?is)</p>.*$"
@@ -22,25 +23,28 @@ def plain(fragment: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fragment, r"(?s)<[^>]*>", " "), r"[\s]+", " "))
 
 
+def _of(tag: str) -> Column:
+    return F.filter("elements", lambda e: e["tag"] == tag)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, link: the distinct link targets of every page in order of first occurrence."""
-    found = F.array_distinct(F.regexp_extract_all(visible(F.col("html")), F.lit(HREF), F.lit(1)))
-    return pages.select("page_id", F.posexplode(found).alias("pos", "link"))
+    found = F.array_distinct(F.filter(F.transform(_of("a"), lambda e: e["href"]), lambda h: h.isNotNull()))
+    return with_elements(pages, "page_id").select("page_id", F.posexplode(found).alias("pos", "link"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """page_id, title, has_heading: the text of the first first-level heading; the URL's last part where there is none."""
-    title = plain(F.regexp_extract(visible(F.col("html")), HEADING, 1))
+    title = F.coalesce(F.get(_of("h1"), F.lit(0))["text"], F.lit(""))
     fallback = F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1)
-    return pages.select("page_id", F.coalesce(F.nullif(title, F.lit("")), fallback).alias("title"), (title != "").alias("has_heading"))
+    return with_elements(pages, "page_id", "url").select("page_id", F.coalesce(F.nullif(title, F.lit("")), fallback).alias("title"), (title != "").alias("has_heading"))
 
 
 def first_paragraphs(pages: DataFrame) -> DataFrame:
     """page_id, description: the first paragraph of LEAST_CHARS characters or more after the heading, else null."""
-    after = F.regexp_replace(visible(F.col("html")), r"(?is)^.*?</h1>", "")
-    pieces = F.slice(F.split(after, PARAGRAPH, -1), 2, F.greatest(F.size(F.split(after, PARAGRAPH, -1)), F.lit(1)))
-    texts = F.transform(pieces, lambda p: plain(F.regexp_replace(p, PARAGRAPH_END, "")))
-    return pages.select("page_id", F.get(F.filter(texts, lambda t: F.length(t) >= LEAST_CHARS), F.lit(0)).alias("description"))
+    over = F.coalesce(F.get(_of("h1"), F.lit(0))["end"], F.lit(0))
+    long = F.filter(_of("p"), lambda e: (e["start"] >= over) & (F.length(e["text"]) >= LEAST_CHARS))
+    return with_elements(pages, "page_id").select("page_id", F.get(long, F.lit(0))["text"].alias("description"))
 
 
 # What course pages and the subject list look like.
@@ -50,7 +54,6 @@ SUBJECT_LABEL = r"^\s*([A-Z][A-Z0-9]*(?: [A-Z][A-Z0-9]*)*)\s+-\s+(.+?)\s*$"
 CODE_AND_TITLE = r"^\s*([A-Z]{1,8}(?:\s[A-Z]{1,4})?\s+\d{2,3}[A-Z]{0,2})\s*[-–]\s*(.+?)\s*$"
 UNITS = r"(?i)\d+(?:\.\d+)?\s*units?\s*\(fi\s*\d+\)(?:\([^)]*\))*"
 TERM = r"(?i)^(?:Fall|Winter|Spring|Summer)\s+Term\s+\d{4}$"
-ANCHOR = r'(?is)<a\b[^>]*\bhref="[^"]*"[^>]*>.*?</a>'
 BOLD = r"(?is)<b(?:\s[^>]*)?>(.*?)</b>"
 BOLDS = 6  #: bold texts after the heading in which the term and the units are looked for
 
@@ -61,10 +64,10 @@ def _first(texts: Column, pattern: str) -> Column:
 
 def course_numbers(indexes: DataFrame) -> DataFrame:
     """slug, page, pos, number: the distinct course numbers an index page links for its own subject, in capitals, in order."""
-    targets = F.transform(F.regexp_extract_all(visible(F.col("html")), F.lit(HREF), F.lit(1)), lambda s: F.trim(s))
+    targets = F.transform(_of("a"), lambda e: F.trim(F.coalesce(e["href"], F.lit(""))))
     own = F.filter(targets, lambda t: F.regexp_extract(t, COURSE_LINK, 1) == F.lower("slug"))
     numbers = F.array_distinct(F.transform(own, lambda t: F.upper(F.regexp_extract(t, COURSE_LINK, 2))))
-    return indexes.select("slug", "page", F.posexplode(numbers).alias("pos", "number"))
+    return with_elements(indexes, "slug", "page").select("slug", "page", F.posexplode(numbers).alias("pos", "number"))
 
 
 def first_per_subject(numbers: DataFrame, limit: int) -> DataFrame:
@@ -75,9 +78,8 @@ def first_per_subject(numbers: DataFrame, limit: int) -> DataFrame:
 
 def subjects(registry: DataFrame) -> DataFrame:
     """page, slug, code, name: of each slug the first link whose label has a code and a name."""
-    anchors = F.regexp_extract_all(visible(F.col("html")), F.lit(ANCHOR), F.lit(0))
-    rows = registry.select("page", F.posexplode(anchors).alias("pos", "a"))
-    rows = rows.withColumn("slug", F.regexp_extract(F.trim(F.regexp_extract("a", HREF, 1)), SUBJECT_LINK, 1)).withColumn("label", plain(F.col("a")))
+    rows = with_elements(registry, "page").select("page", F.posexplode(F.filter(_of("a"), lambda e: e["href"].isNotNull())).alias("pos", "a"))
+    rows = rows.withColumn("slug", F.regexp_extract(F.trim("a.href"), SUBJECT_LINK, 1)).withColumn("label", F.col("a.text"))
     rows = rows.where((F.col("slug") != "") & F.col("label").rlike(SUBJECT_LABEL))
     first = rows.groupBy("page", "slug").agg(F.min_by("label", "pos").alias("label"))
     return first.select("page", "slug", F.regexp_extract("label", SUBJECT_LABEL, 1).alias("code"), F.regexp_extract("label", SUBJECT_LABEL, 2).alias("name"))
