@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -19,7 +18,6 @@ HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 ELEMENTS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("href", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_ARROW = pa.list_(pa.struct([("tag", pa.string()), ("href", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 class _Reader(HTMLParser):
@@ -92,8 +90,11 @@ def with_elements(pages: DataFrame, *keys: str) -> DataFrame:
     rows = pages.select(*keys, "html")
 
     def run(batches):
+        import pyarrow as pa  # on the executors only: the module itself loads without it
+
+        element = pa.struct([("tag", pa.string()), ("href", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            elements = pa.array([read_elements(h.as_py()) for h in batch.column(len(keys))], _ARROW)
+            elements = pa.array([read_elements(h.as_py()) for h in batch.column(len(keys))], pa.list_(element))
             yield pa.record_batch([*batch.columns[: len(keys)], elements], [*keys, "elements"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keys)], T.StructField("elements", ELEMENTS)]))
