@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlake.queries import building, catalogue, eligibility, plans, text
+from reqlake.queries import building, catalogue, dataset, eligibility, plans, text
 
-_MODULES = (catalogue, eligibility, text, building, plans)
+_MODULES = (catalogue, eligibility, text, building, plans, dataset)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
