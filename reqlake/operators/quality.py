@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlake.operators import evaluate
+
 CODE_SHAPE = r"^[A-Z]{1,8}(?: [A-Z]{1,4})? \d{2,4}[A-Z]{0,2}$"
 STATUSES = ("parsed", "partial", "unparsed")
 TYPES = ("AND", "OR", "COURSE", "LEVEL_MIN")
@@ -26,16 +28,22 @@ def _broken(*rules: tuple[Column, str, str, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(holds, row(check, severity, message)) for holds, check, severity, message in rules]))
 
 
+def broken(rows: DataFrame, *rules: tuple[Column, str, str, Column | str]) -> DataFrame:
+    """check, severity, code, message: a row per rule (condition, check, severity, message) that a row of ``rows`` breaks."""
+    return rows.select("code", F.inline(_broken(*rules))).select("check", "severity", "code", "message")
+
+
 def course_findings(courses: DataFrame, nodes: DataFrame, site: str) -> DataFrame:
     """check, severity, code, message of broken rules of single courses.
 
-    ``courses`` has pk, code, subject, level, url, parse_status, text, has_unrepresented; ``nodes`` are of trees by pk.
+    ``courses`` has pk, code, subject, level, url, parse_status, text, has_unrepresented; ``nodes`` are of trees by pk.  What a
+    student with nothing completed is told is ``evaluate.defaults``' answer; ``honesty`` holds a whole engine to account.
     """
     summary = nodes.groupBy(F.col("course").alias("pk")).agg(F.max("depth").alias("deepest"), F.count_if(F.col("type").isin("COURSE", "LEVEL_MIN")).alias("leaves"))
-    rows = courses.join(summary, "pk", "left")
-    status, tree = F.col("parse_status"), F.col("deepest").isNotNull()
+    told = evaluate.defaults(courses, nodes.select(F.col("course").alias("p"))).select(F.col("p").alias("pk"), "eligible")
+    rows = courses.join(summary, "pk", "left").join(told, "pk", "left")
+    status, tree, eligible = F.col("parse_status"), F.col("deepest").isNotNull(), F.col("eligible")
     gaps = F.col("has_unrepresented") == 1
-    eligible = F.when((status == "unparsed") | (~tree & gaps), F.lit(None).cast("boolean")).otherwise(~tree)  # with nothing completed
     missing = [(F.col(c).isNull(), "required field", "error", c) for c in REQUIRED]
     rules = [
         *missing, (~F.col("code").rlike(CODE_SHAPE), "code shape", "error", ""), (~status.isin(*STATUSES), "status", "error", status), (~F.col("url").startswith(site), "url", "error", F.col("url")),
@@ -45,7 +53,7 @@ def course_findings(courses: DataFrame, nodes: DataFrame, site: str) -> DataFram
         ((status == "parsed") & ~tree & ~F.coalesce(eligible, F.lit(False)), "needs nothing but not eligible", "error", ""), (tree & F.coalesce(eligible, F.lit(False)), "eligible with nothing completed", "error", ""),
         (~F.coalesce(eligible, F.lit(True)) & (F.col("leaves") == 0), "not eligible but names nothing", "error", ""),
     ]
-    return rows.select("code", F.inline(_broken(*rules))).select("check", "severity", "code", "message")
+    return broken(rows, *rules)
 
 
 def node_findings(courses: DataFrame, nodes: DataFrame) -> DataFrame:
