@@ -51,7 +51,7 @@ def first_paragraphs(pages: DataFrame) -> DataFrame:
 COURSE_LINK = r"^/catalogue/course/([a-z0-9_-]+)/([A-Za-z0-9]+)$"
 SUBJECT_LINK = r"^/catalogue/course/([a-z0-9_-]+)$"
 SUBJECT_LABEL = r"^\s*([A-Z][A-Z0-9]*(?: [A-Z][A-Z0-9]*)*)\s+-\s+(.+?)\s*$"
-CODE_AND_TITLE = r"^\s*([A-Z]{1,8}(?:\s[A-Z]{1,4})?\s+\d{2,3}[A-Z]{0,2})\s*[-–]\s*(.+?)\s*$"
+CODE_AND_TITLE = r"^\s*([A-Z]{1,8}(?:\s[A-Z]{1,4})?\s+\d{2,}[A-Z]{0,2})\s*[-–]\s*(.+?)\s*$"
 UNITS = r"(?i)\d+(?:\.\d+)?\s*units?\s*\(fi\s*\d+\)(?:\([^)]*\))*"
 TERM = r"(?i)^(?:Fall|Winter|Spring|Summer)\s+Term\s+\d{4}$"
 BOLD = r"(?is)<b(?:\s[^>]*)?>(.*?)</b>"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reqlake.operators import outliers
 from reqlake.plans import grammar
+from reqlake.sources import pages
 
 VOCABULARY = grammar.Vocabulary(("SUBA", "SUBB"))
 
@@ -17,3 +18,9 @@ def test_long_numbers_in_requirement_text(spark):
     assert spark.range(1).select(grammar.credit_exclusions(text, F.lit("SUBA 1001"), F.lit("SUBA"), VOCABULARY)).first()[0] == ["SUBB 48099"]
     unknown = outliers.unknown_codes(rows, "k", "t", ("SUBA",)).collect()
     assert [(r.key, r.finding) for r in unknown] == [(0, "SUBB")]
+
+
+def test_long_numbers_in_headings(spark):
+    page = spark.createDataFrame([("https://catalogue.example.org/catalogue/course/suba/48099", "<h1>SUBA 48099 - Large</h1>")], "url string, html string")
+    row = pages.course_fields(page).first()
+    assert (row.code, row.number, row.title) == ("SUBA 48099", "48099", "Large")
