@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reqlake.functions import codes
 from reqlake.operators import outliers
 from reqlake.plans import grammar
 from reqlake.sources import pages
@@ -24,3 +25,8 @@ def test_long_numbers_in_headings(spark):
     page = spark.createDataFrame([("https://catalogue.example.org/catalogue/course/suba/48099", "<h1>SUBA 48099 - Large</h1>")], "url string, html string")
     row = pages.course_fields(page).first()
     assert (row.code, row.number, row.title) == ("SUBA 48099", "48099", "Large")
+
+
+def test_level_of_long_numbers(spark):
+    rows = spark.createDataFrame([("SUBA 999",), ("SUBA 1234",), ("SUBA 48099",), ("MATH 30-1",), ("MAPH 451AB",)], "c string")
+    assert [r[0] for r in rows.select(codes.level_of(F.col("c"))).collect()] == [999, 123, 4809, 0, 451]
