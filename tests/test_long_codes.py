@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reqlake.functions import codes
 from reqlake.operators import outliers
 from reqlake.plans import grammar
+from reqlake.queries import eligibility
 from reqlake.sources import pages
 
 VOCABULARY = grammar.Vocabulary(("SUBA", "SUBB"))
@@ -30,3 +31,13 @@ def test_long_numbers_in_headings(spark):
 def test_level_of_long_numbers(spark):
     rows = spark.createDataFrame([("SUBA 999",), ("SUBA 1234",), ("SUBA 48099",), ("MATH 30-1",), ("MAPH 451AB",)], "c string")
     assert [r[0] for r in rows.select(codes.level_of(F.col("c"))).collect()] == [999, 123, 4809, 0, 451]
+
+
+def test_no_level_is_met_by_a_long_number(spark, tmp_path):
+    part = [(pk, "p") for pk in (0, 2500, 22_500, 25_000)]  # SUBA 100, 200, 1000, 1100
+    spark.createDataFrame(part, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 22_500, 1), (1, 2500, 2), (2, 25_000, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, eligibility.level_min_match(spark, str(tmp_path)).collect()))
+    assert got == [(7, "SUBA", 100, "SUBA 200"), (7, "SUBA", 200, "SUBA 200")]
