@@ -7,7 +7,7 @@ from reqlake.functions import codes
 from reqlake.operators import outliers
 from reqlake.plans import grammar
 from reqlake.queries import dataset, eligibility
-from reqlake.sources import pages
+from reqlake.sources import catalogue, pages
 
 VOCABULARY = grammar.Vocabulary(("SUBA", "SUBB"))
 
@@ -56,3 +56,17 @@ def test_pages_that_share_a_url_are_fetched_each(spark, shared_urls):
     again = 1 + len(dataset.TOLD)
     assert states == [("", "landed", 2, again), ("u", "failed", 3, 0), ("u", "landed", 1, 2), ("v", "failed", 3, 0), ("w", "landed", 1, 0)]
     assert sorted(map(tuple, dataset.fetch_pending(spark, shared_urls).collect())) == [(3, "u"), (24, "v")]
+
+
+def test_partitions_of_orders_keep_their_size(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(pk, "p") for pk in range(16)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, (o * k) % 17, k) for o in range(40) for k in (1, 3, 5, 7, 7)] + [(None, 1, 1), (None, 15, 2), (41, None, 1)]  # part 16 is not in the catalogue
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalogue, "LINES", 10)
+    found = catalogue.edges(spark, str(tmp_path))
+    pairs = {(p, q) for o, p, _ in lines for r, q, _ in lines if o == r and None not in (o, p, q) and p < 16 and q // 2 < p // 2}
+    order = {p: sorted((q for a, q in pairs if a == p), key=lambda q: ((q * 7919 + p * 31) % 10007, q))[:4] for p, _ in pairs}
+    assert sorted(map(tuple, found.collect())) == sorted((p, q, i + 1, i // 2) for p, qs in order.items() for i, q in enumerate(qs))
+    shuffles = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
+    parts = (len(lines) - 2) // catalogue.LINES + spark.sparkContext.defaultParallelism
+    assert len(shuffles) == 2 and all(f"], {parts}" in x for x in shuffles)
