@@ -69,7 +69,19 @@ def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS,
 
 
 def capped_courses(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS, members: DataFrame | None = None) -> DataFrame:
-    """course: those with a chain that the cap on hops cuts."""
+    """course: those with a chain that the cap on hops cuts.
+
+    Without cycles whether there is such a chain needs no roots: a course has a chain of n edges if one of its courses has one
+    of n - 1.  A hop is a pass over the edges, and a row a course is kept.
+    """
+    if members is None:
+        step = scratch.save(edges.select("p", "q").distinct(), "capped-steps")
+        found = step.select("p").distinct()
+        for hop in range(1, most_hops + 1):
+            found = step.join(found.select(F.col("p").alias("q")), "q", "left_semi").select("p").distinct()
+            if hop % HOPS_AT_ONCE == 0:
+                found = scratch.save(found, f"capped-{hop}")
+        return found.select(F.col("p").alias("course"))
     last = chain_expand(edges, scratch, most_hops, members).where(F.col("hop") == most_hops - 1)
     return last.join(edges.select(F.col("p").alias("node")).distinct(), "node", "left_semi").select(F.col("root").alias("course")).distinct()
 

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqlake.functions import codes
-from reqlake.operators import outliers
+from reqlake.operators import graph, outliers
 from reqlake.plans import grammar
 from reqlake.queries import dataset, eligibility
 from reqlake.sources import catalogue, pages
+from reqlake.storage import Scratch
 
 VOCABULARY = grammar.Vocabulary(("SUBA", "SUBB"))
 
@@ -70,3 +71,12 @@ def test_partitions_of_orders_keep_their_size(spark, tmp_path, monkeypatch):
     shuffles = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
     parts = (len(lines) - 2) // catalogue.LINES + spark.sparkContext.defaultParallelism
     assert len(shuffles) == 2 and all(f"], {parts}" in x for x in shuffles)
+
+
+
+def test_capped_courses_keep_a_row_a_course(spark):
+    layers = [(i * 10 + a, i * 10 + 10 + b) for i in range(14) for a in range(4) for b in range(4)]  # 4 ** 14 chains
+    scratch = Scratch(spark, "test")
+    out = graph.capped_courses(spark.createDataFrame(layers, "p long, q long"), scratch)
+    assert {r.course for r in out.collect()} == {i * 10 + a for i in range(2) for a in range(4)}
+    assert spark.read.parquet(f"{scratch.root}/capped-4").columns == ["p"]
