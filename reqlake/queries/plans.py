@@ -54,7 +54,7 @@ def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def after(steps: F.Column, name: str) -> DataFrame:
         more = plans.select("student", F.explode(steps).alias("k")).select("student", tree_plans.completing(F.col("k")).alias("code"))
         have = taken.join(asked.select("student"), "student", "left_semi").union(more).distinct()
-        return trees.satisfied_courses(nodes, have).join(asked, ["student", "course"], "left_semi").withColumn(name, F.lit(True))
+        return trees.satisfied_courses(nodes, have, pairs=asked).withColumn(name, F.lit(True))
 
     steps = F.size("remaining")
     out = plans.join(after(F.col("remaining"), "all"), ["student", "course"], "left").join(after(F.slice("remaining", 1, steps - 1), "short"), ["student", "course"], "left")

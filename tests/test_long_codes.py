@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqlake.functions import codes
-from reqlake.operators import graph, outliers
+from reqlake.operators import graph, outliers, trees
 from reqlake.plans import grammar
 from reqlake.queries import dataset, eligibility
 from reqlake.sources import catalogue, pages
@@ -59,6 +59,23 @@ def test_pages_that_share_a_url_are_fetched_each(spark, shared_urls):
     assert sorted(map(tuple, dataset.fetch_pending(spark, shared_urls).collect())) == [(3, "u"), (24, "v")]
 
 
+def test_only_asked_pairs_are_judged(spark):
+    rows = spark.createDataFrame([("SUBA 1", "L(200 SUBB)"), ("SUBA 2", "O(SUBB 300, SUBB 400)"), ("SUBA 3", "A(SUBB 300, L(500 SUBB))")], "code string, tree string")
+    nodes = trees.nodes_of(rows, "code", "tree")
+    taken = spark.createDataFrame([(s, "SUBB 300") for s in range(50)], "student long, code string")
+    asked = spark.createDataFrame([(1, "SUBA 1"), (2, "SUBA 2"), (3, "SUBA 3"), (99, "SUBA 1")], "student long, course string")
+    assert sorted(map(tuple, trees.satisfied_courses(nodes, taken, pairs=asked).collect())) == [(1, "SUBA 1"), (2, "SUBA 2")]
+    assert trees.satisfied_leaves(nodes, taken, asked).count() == 3  # and not 50 students times the leaves that each meets
+
+
+def test_capped_courses_keep_a_row_a_course(spark):
+    layers = [(i * 10 + a, i * 10 + 10 + b) for i in range(14) for a in range(4) for b in range(4)]  # 4 ** 14 chains
+    scratch = Scratch(spark, "test")
+    out = graph.capped_courses(spark.createDataFrame(layers, "p long, q long"), scratch)
+    assert {r.course for r in out.collect()} == {i * 10 + a for i in range(2) for a in range(4)}
+    assert spark.read.parquet(f"{scratch.root}/capped-4").columns == ["p"]
+
+
 def test_partitions_of_orders_keep_their_size(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(pk, "p") for pk in range(16)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     lines = [(o, (o * k) % 17, k) for o in range(40) for k in (1, 3, 5, 7, 7)] + [(None, 1, 1), (None, 15, 2), (41, None, 1)]  # part 16 is not in the catalogue
@@ -71,12 +88,3 @@ def test_partitions_of_orders_keep_their_size(spark, tmp_path, monkeypatch):
     shuffles = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
     parts = (len(lines) - 2) // catalogue.LINES + spark.sparkContext.defaultParallelism
     assert len(shuffles) == 2 and all(f"], {parts}" in x for x in shuffles)
-
-
-
-def test_capped_courses_keep_a_row_a_course(spark):
-    layers = [(i * 10 + a, i * 10 + 10 + b) for i in range(14) for a in range(4) for b in range(4)]  # 4 ** 14 chains
-    scratch = Scratch(spark, "test")
-    out = graph.capped_courses(spark.createDataFrame(layers, "p long, q long"), scratch)
-    assert {r.course for r in out.collect()} == {i * 10 + a for i in range(2) for a in range(4)}
-    assert spark.read.parquet(f"{scratch.root}/capped-4").columns == ["p"]
