@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reqlake.functions import codes
 from reqlake.operators import graph, outliers, trees
 from reqlake.plans import grammar
-from reqlake.queries import dataset, eligibility
+from reqlake.queries import dataset, eligibility, text
 from reqlake.sources import catalogue, pages
 from reqlake.storage import Scratch
 
@@ -45,6 +45,20 @@ def test_no_level_is_met_by_a_long_number(spark, tmp_path):
     assert got == [(7, "SUBA", 100, "SUBA 200"), (7, "SUBA", 200, "SUBA 200")]
 
 
+@pytest.fixture(scope="module")
+def long_catalogue(spark, tmp_path_factory):
+    """SUBU 1000 needs SUBP 101 and excludes SUBV 1000, which SUBC 1900 needs."""
+    path = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame([(pk, "p") for pk in (40, 22_520, 22_521, 45_002)], "p_partkey long, p_name string").write.parquet(f"{path}/part.parquet")
+    lines = [(1, 22_520, 1), (1, 40, 2), (2, 45_002, 1), (2, 22_521, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_long_numbers_in_excluding_sentences(spark, long_catalogue):
+    assert [tuple(r) for r in text.negation_strip(spark, long_catalogue).collect()] == [("SUBU 1000", "SUBP 101", "SUBU 1000,SUBV 1000")]
+
+
 @pytest.fixture
 def shared_urls(spark, tmp_path):
     rows = [(1, "u", "ab"), (3, "u", "abc"), (24, "v", "x"), (5, None, "y"), (6, "w", None)]
