@@ -59,6 +59,10 @@ def test_long_numbers_in_excluding_sentences(spark, long_catalogue):
     assert [tuple(r) for r in text.negation_strip(spark, long_catalogue).collect()] == [("SUBU 1000", "SUBP 101", "SUBU 1000,SUBV 1000")]
 
 
+def test_long_numbers_of_unknown_subjects(spark, long_catalogue):
+    assert [tuple(r) for r in text.outlier_codes(spark, long_catalogue).collect()] == [("SUBV", 1, "SUBC 1900")]
+
+
 @pytest.fixture
 def shared_urls(spark, tmp_path):
     rows = [(1, "u", "ab"), (3, "u", "abc"), (24, "v", "x"), (5, None, "y"), (6, "w", None)]
