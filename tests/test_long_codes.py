@@ -106,3 +106,23 @@ def test_partitions_of_orders_keep_their_size(spark, tmp_path, monkeypatch):
     shuffles = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
     parts = (len(lines) - 2) // catalogue.LINES + spark.sparkContext.defaultParallelism
     assert len(shuffles) == 2 and all(f"], {parts}" in x for x in shuffles)
+
+
+def test_levels_that_meet_trees_alone(spark, monkeypatch):
+    said = {
+        "1": "O(SUBA 101, L(300 SUBB))", "2": "A(O(SUBA 101, SUBA 102), L(200 SUBB))", "3": "A(L(200 SUBB), O(L(300 SUBB), SUBA 101))", "4": "O(L(300 SUBB), L(200 SUBA))", "5": "A(L(200 SUBB), L(200 SUBA))",
+        "6": "L(400 SUBB)", "7": "SUBA 101", "8": "O(SUBA 101, A(SUBA 102, L(200 SUBB)))", "9": "O(A(L(400 SUBB), SUBA 101), A(L(200 SUBB), L(300 SUBB)))",
+    }
+    nodes = trees.nodes_of(spark.createDataFrame(list(said.items()), "code string, tree string"), "code", "tree")
+    held = ("SUBA 101", "SUBA 102", "SUBA 250", "SUBB 210", "SUBB 310", "SUBB 4100")
+    taken = spark.createDataFrame([(s, c) for s in range(64) for i, c in enumerate(held) if s >> i & 1], "student long, code string")
+    needs, mixed = trees.level_needs(nodes)
+    assert sorted(map(tuple, needs.collect())) == [("1", "SUBB", 300), ("3", "SUBB", 300), ("6", "SUBB", 400), ("9", "SUBB", 300)]
+    assert {r.course for r in mixed.collect()} == {"4", "5"}
+    monkeypatch.setattr(trees, "PAIRS", 7)
+    monkeypatch.setattr(trees, "BLOCK", 1)
+    alone = trees.level_pairs(needs, trees.best_levels(taken), Scratch(spark, "test"))
+    got = [tuple(r) for r in alone.select("student", "course").union(trees.satisfied_otherwise(nodes, taken, needs, mixed)).collect()]
+    assert sorted(got) == sorted(map(tuple, trees.satisfied_courses(nodes, taken).collect())) and len(got) > 200
+    plan = alone._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")  # pairs are made behind every shuffle
+    assert len(plan) == 2 and "Join" not in plan[0] and "Repartition" not in plan[0] and "Aggregate" not in plan[0]
