@@ -22,6 +22,7 @@ NUMBER = r"\d{2,}(?:[A-Z]{1,2}|-\d)?"  #: of any length: a large catalogue numbe
 ONE_OF = r"(?i)\b(?:at\s+least\s+)?(?:one|any)\s+of\b|(?i)\beither\b"
 SCOPE_END = r";|,\s+and\s+|\s+and\s+(?=(?:at\s+least\s+)?(?:one|any)\s+of\b|either\b)|\s+and\s+(?=[A-Z]{2,6}(?: [A-Z]{1,4})?\s+\d{2,3})"
 SEPARATORS = ((r"\s*;\s*", "A"), (r"(?i)\s*,\s+and\s+", "A"), (r"(?i)\s*,\s+or\s+", "O"), (r"\s*,\s*", "A"), (r"(?i)\s+and\s+", "A"), (r"(?i)\s+or\s+", "O"))
+TURNS = 3  #: tasks a core that texts are read in
 COMMA_LISTS = (1, 2)  #: passes whose parts may be comma lists of the same kind
 OR_LIST = r"(?i)\s*,\s*or\s+|\s*,\s*|\s+or\s+"
 LEADING_CONNECTOR = r"(?i)^(?:and|or)\s+"
@@ -102,17 +103,18 @@ def expand_bare_numbers(text: Column, home: Column, vocabulary: Vocabulary) -> C
     token = rf"\b(?:{vocabulary.subject})?\s*\b{NUMBER}\b"
     tokens, gaps = F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.split(text, token, -1)
 
-    def step(state: Column, i: Column) -> Column:
-        t, after = F.element_at(tokens, i), F.element_at(gaps, i + 1)
-        subject = F.regexp_extract(t, rf"^({vocabulary.subject})\s*{NUMBER}$", 1)
-        skipped = after.rlike(SKIPPED_NUMBER)
-        bare = F.concat(F.regexp_extract(t, r"^(\s*)", 1), state["now"], F.lit(" "), F.trim(t))
-        word = F.when(skipped | (subject != ""), t).otherwise(bare)
-        now = F.when(~skipped & (subject != ""), F.upper(F.regexp_replace(subject, r"\s+", " "))).otherwise(state["now"])
-        return F.struct(now.alias("now"), F.concat(state["out"], word, after).alias("out"))
+    def read(t: Column, after: Column) -> Column:
+        return F.struct(t.alias("t"), after.alias("after"), F.regexp_extract(t, rf"^({vocabulary.subject})\s*{NUMBER}$", 1).alias("subject"), after.rlike(SKIPPED_NUMBER).alias("skipped"))
 
-    start = F.struct(home.alias("now"), F.element_at(gaps, 1).alias("out"))
-    return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: i > 0), start, step)["out"]
+    def step(state: Column, x: Column) -> Column:
+        named = x["subject"] != ""
+        bare = F.concat(F.regexp_extract(x["t"], r"^(\s*)", 1), state["now"], F.lit(" "), F.trim(x["t"]))
+        now = F.when(~x["skipped"] & named, F.upper(F.regexp_replace(x["subject"], r"\s+", " "))).otherwise(state["now"])
+        return F.struct(now.alias("now"), F.concat(state["out"], F.when(x["skipped"] | named, x["t"]).otherwise(bare), x["after"]).alias("out"))
+
+    # the text is cut once and not once a token: a lambda computes what it names anew for each element
+    read_tokens = F.zip_with(tokens, F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), read)
+    return F.aggregate(read_tokens, F.struct(home.alias("now"), F.element_at(gaps, 1).alias("out")), step)["out"]
 
 
 def codes_in(text: Column, home: Column, vocabulary: Vocabulary) -> Column:
@@ -169,7 +171,8 @@ def _whole_list(text: Column) -> Column:
     both_to_end = body.rlike(r"(?i)\bboth\b[^;,]*$") & ~F.regexp_replace(body, r"(?i)\bboth\b[^;,]*$", "").rlike(r"(?i)\bboth\b")
     shielded = _inside(body, _BOTH_SCOPE)
     one_to_end = F.length(F.regexp_extract(shielded, rf"^{_ONE_OF_SCOPE}", 0)) >= F.length(shielded)
-    return starts & F.when(has_both, both_to_end).otherwise(one_to_end)
+    # a conditional and not `&`, of whose sides Spark computes what they share before it looks at the first
+    return F.when(starts, F.when(has_both, both_to_end).otherwise(one_to_end)).otherwise(starts)
 
 
 def _plain_list(part: Column) -> Column:
@@ -206,9 +209,13 @@ def prepare(rows: DataFrame, text: str, home: str, vocabulary: Vocabulary) -> Da
     return rows.drop("_t", "_u", "_s")
 
 
+def _bare(text: Column) -> Column:
+    return _strip(F.regexp_replace(F.trim(text), rf"^(.*?)(?:{ONE_OF})", "$1"))
+
+
 def _atoms(text: Column, home: Column, vocabulary: Vocabulary) -> Column:
-    """struct(kind, node, said) of one atom: kind is L (leaf), D (dropped), U (not understood) or null (empty)."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), rf"^(.*?)(?:{ONE_OF})", "$1"), _EDGE, "")
+    """struct(kind, node, said) of one atom (``_bare`` text): kind is L (leaf), D (dropped), U (not understood) or null (empty)."""
+    t = text
     subject = vocabulary.code_of_name(F.trim(F.regexp_extract(t, LEVEL_MIN, 2)))
     level = F.concat(F.lit("L("), F.regexp_extract(t, LEVEL_MIN, 1), F.lit("00 "), subject, F.lit(")"))
     bare = F.concat(F.lit("L("), F.regexp_extract(t, LEVEL_MIN_BARE, 1), F.lit("00 "), home, F.lit(")"))
@@ -217,8 +224,7 @@ def _atoms(text: Column, home: Column, vocabulary: Vocabulary) -> Column:
     make = lambda kind, node, said: F.struct(F.lit(kind).alias("kind"), node.alias("node"), said.alias("said"))
     return (
         F.when(t == "", make(None, none, none).cast("struct<kind:string,node:string,said:string>"))
-        .when(t.rlike(LEVEL_MIN) & subject.isNotNull(), make("L", level, none))
-        .when(t.rlike(LEVEL_MIN), make("U", none, t))
+        .when(t.rlike(LEVEL_MIN), F.when(subject.isNotNull(), make("L", level, none)).otherwise(make("U", none, t)))
         .when(t.rlike(LEVEL_MIN_BARE), make("L", bare, F.concat(t, F.lit(" (subject assumed to be "), home, F.lit(")"))))
         .when(t.rlike(f"^{vocabulary.course}$"), make("L", course, none))
         .when(t.rlike(INFORMATIONAL), make("D", none, t))
@@ -229,7 +235,7 @@ def _atoms(text: Column, home: Column, vocabulary: Vocabulary) -> Column:
 def atoms(prepared: DataFrame, key: str, home: str, vocabulary: Vocabulary) -> DataFrame:
     """(key, path, kinds, kind, node, said): the atoms of every text, with the numbers and kinds of the nodes above them.
 
-    One linear chain of passes: rows that are settled (announced lists) travel on unchanged, and empty ones to the end.
+    One linear chain of passes: rows that are settled (announced lists) travel on unchanged, and empty ones, of a null kind, too.
     (A filter on a computed text, or the one Spark infers for an inner explode, would copy every pass's expressions into
     the passes before it.)  A path is at most six cuts, one list and one `both` deep.
     """
@@ -267,7 +273,8 @@ def atoms(prepared: DataFrame, key: str, home: str, vocabulary: Vocabulary) -> D
             key, "home", F.when(F.col("cut"), F.concat("path", F.array("i"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("cut"), F.concat("kinds", F.array(F.lit(kind)))).otherwise(F.col("kinds")).alias("kinds"), "text", "listed",
         )
-    return rows.withColumn("atom", _atoms(F.col("text"), F.col("home"), vocabulary)).select(key, "path", "kinds", "atom.*").where("kind is not null")
+    rows = rows.withColumn("text", _bare(F.col("text")))
+    return rows.withColumn("atom", _atoms(F.col("text"), F.col("home"), vocabulary)).select(key, "path", "kinds", "atom.*")
 
 
 def _list_items(text: Column, listed: Column) -> Column:
@@ -275,11 +282,11 @@ def _list_items(text: Column, listed: Column) -> Column:
 
 
 def _both_items(text: Column, listed: Column) -> Column:
-    bare = _strip(F.regexp_replace(F.trim(text), rf"^(.*?)(?:{ONE_OF})", "$1"))
+    bare = _bare(text)
     return F.when(bare.rlike(BOTH), F.split(F.regexp_extract(bare, BOTH, 1), r"(?i)\s+and\s+", -1))
 
 
-def _fold_level(rows: DataFrame, key: str, depth: int) -> DataFrame:
+def _fold_level(rows: DataFrame, depth: int) -> DataFrame:
     """The items of one depth, joined to the items of their parents."""
 
     def above(x: Column) -> Column:
@@ -295,19 +302,23 @@ def _fold_level(rows: DataFrame, key: str, depth: int) -> DataFrame:
         )
 
     rows = rows.withColumn("here", F.filter("items", lambda x: F.size(x["path"]) == depth)).withColumn("parents", F.array_distinct(F.transform("here", above)))
-    return rows.withColumn("items", F.concat(F.filter("items", lambda x: F.size(x["path"]) < depth), F.transform("parents", join))).select(key, "items")
+    return rows.withColumn("items", F.concat(F.filter("items", lambda x: F.size(x["path"]) < depth), F.transform("parents", join))).drop("here", "parents")
 
 
-def fold(leaves: DataFrame, key: str) -> DataFrame:
-    """(key, tree): trees in the notation A(...), O(...), L(level subject), bare codes; keys without a leaf are left out.
+def _leaf() -> Column:
+    """A leaf as an item of ``folded``; null for what is none."""
+    item = F.struct("path", "kinds", F.lit("L").alias("kind"), F.col("node").alias("text"), F.array().cast("array<string>").alias("children"))
+    return F.when(F.col("kind") == "L", item)
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the tree of their items, in the notation A(...), O(...), L(level subject), bare codes; null without a leaf.
 
     A sentence's leaves meet in one row and are folded from the deepest nodes up.
     """
-    item = F.struct("path", "kinds", F.lit("L").alias("kind"), F.col("node").alias("text"), F.array().cast("array<string>").alias("children"))
-    rows = leaves.where("kind = 'L'").groupBy(key).agg(F.collect_list(item).alias("items"))
     for depth in range(len(SEPARATORS) + 2, 0, -1):
-        rows = _fold_level(rows, key, depth)
-    return rows.select(key, F.col("items")[0]["text"].alias("tree"))
+        rows = _fold_level(rows, depth)
+    return rows.withColumn("tree", F.get("items", F.lit(0))["text"]).drop("items")
 
 
 def parse(rows: DataFrame, key: str, text: str, home: str, vocabulary: Vocabulary) -> DataFrame:
@@ -317,11 +328,13 @@ def parse(rows: DataFrame, key: str, text: str, home: str, vocabulary: Vocabular
     part of the text is not in the tree: notes names it, and unrepresented the parts that state a requirement.
     """
     scratch = Scratch(rows.sparkSession, "grammar")
-    prepared = scratch.save(prepare(rows.select(key, text, home), text, home, vocabulary).drop(text), "prepared")
+    # dealt evenly, as a row costs much more time than bytes
+    dealt = rows.select(key, text, home).repartition(TURNS * rows.sparkSession.sparkContext.defaultParallelism, key)
+    prepared = scratch.save(prepare(dealt, text, home, vocabulary).drop(text), "prepared")
     leaves = scratch.save(atoms(prepared, key, home, vocabulary), "leaves")
     said = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(kinds & F.col("said").isNotNull(), F.struct("path", "said")))), lambda x: x["said"])
-    notes = leaves.groupBy(key).agg(said(F.col("kind") != "U").alias("dropped"), said(F.col("kind") == "U").alias("unrecognized"))
-    out = prepared.join(fold(leaves, key), key, "left").join(notes, key, "left")
+    per_text = leaves.where("kind is not null").groupBy(key).agg(F.collect_list(_leaf()).alias("items"), said(F.col("kind") != "U").alias("dropped"), said(F.col("kind") == "U").alias("unrecognized"))
+    out = prepared.join(folded(per_text), key, "left")
     none = F.array().cast("array<string>")
     dropped, unrecognized = F.coalesce("dropped", none), F.coalesce("unrecognized", none)
     partial = (F.size(dropped) + F.size(unrecognized) + F.size("asides")) > 0
