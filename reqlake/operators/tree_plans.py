@@ -102,17 +102,25 @@ def tree_plans(targets: DataFrame, nodes: DataFrame, courses: DataFrame, taken:
     step = nodes.withColumn("key", key).join(tracked, "code", "left").join(rooted, "code", "left")
     own = ~F.coalesce("external", F.lit(False)) if "external" in nodes.columns else F.lit(True)
     step = step.withColumn("has_tree", F.coalesce(F.col("tracked") & F.col("has_tree") & own, F.lit(False))).drop("tracked")
-    step = scratch.save(with_components(step, "course", "code", members), "tree-steps")
-    done = scratch.save(taken.select("student", "code").distinct(), "tree-taken")
+    step = with_components(step, "course", "code", members)
+    item = F.struct(*(c for c in ("path", "parent", "depth", "ord", "type", "code", "subject", "min_level", "key", "has_tree", "inside", "stays")))
+    step = scratch.save(step.groupBy("course").agg(F.collect_list(item).alias("items")), "tree-steps")
+    # a transcript is one row, and so is a tree: a hop's nodes are told apart behind its shuffles
+    done = taken.select("student", "code").distinct()
     best = done.groupBy("student", subject_of(F.col("code")).alias("subject")).agg(F.max(level_of(F.col("code"))).alias("best"))
-    best = scratch.save(best, "tree-levels")
-    done = done.withColumn("done", F.lit(True))
+    best = best.where("subject is not null").groupBy("student").agg(F.map_from_entries(F.collect_list(F.struct("subject", "best"))).alias("levels"))
+    done = done.groupBy("student").agg(F.collect_list("code").alias("done"))
+    levels = not nodes.where("type = 'LEVEL_MIN'").isEmpty()
+    have = done.join(best, "student", "left") if levels else done.withColumn("levels", F.lit(None).cast("map<string,int>"))
+    have = scratch.save(have, "tree-taken")
 
     state = ["student", "course", "guard"]
     front = targets.select("student", "course", F.array().cast("array<string>").alias("guard"))
     opened = []
     for hop in range(most_hops + 1):
-        rows = front.join(step, "course").join(done, ["student", "code"], "left").join(best, ["student", "subject"], "left")
+        rows = front.join(step, "course").join(have, "student", "left")
+        rows = rows.select(*state, F.array_intersect("items.code", "done").alias("done"), "levels", "items").select(*state, "done", "levels", F.inline("items"))
+        rows = rows.withColumn("done", F.array_contains("done", F.col("code"))).withColumn("best", F.try_element_at("levels", F.col("subject")))
         leaf, kind = F.col("type") == "COURSE", F.col("type")
         met = F.when(leaf, F.coalesce("done", F.lit(False))).when(kind == "LEVEL_MIN", F.coalesce(F.col("best") >= F.col("min_level"), F.lit(False))).otherwise(False)
         again = leaf & ~met & F.array_contains("guard", F.col("code"))

@@ -25,7 +25,7 @@ def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     courses = cat.courses(spark, sf_dir).select("code")
     taken = scratch.save(_taken(spark, sf_dir), "taken")
     members = scratch.save(graph.cycle_members(tree_plans.needs(nodes, courses), scratch), "cycles")
-    targets = wanted(spark, sf_dir).select("student", cat.code_of(F.col("course")).alias("course"))
+    targets = wanted(spark, sf_dir, taken).select("student", cat.code_of(F.col("course")).alias("course"))
     return scratch.save(tree_plans.tree_plans(targets, nodes, courses, taken, members, scratch), "plans"), nodes, taken
 
 

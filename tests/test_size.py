@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from reqlake.operators import graph
 from reqlake.queries import text
+from reqlake.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +16,16 @@ SF = "/root/testdata/sf0.001"
 def test_texts_are_written_once(spark, query):
     """What is read from texts is joined to them, and the edges behind the texts are not found again for that."""
     assert not [f for f in query(spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_a_hop_shuffles_trees_and_not_their_nodes(spark, monkeypatch):
+    """A tree of a thousand options is one row of what a hop meets students' transcripts with."""
+    edges = spark.range(1000).select(F.lit(5000).cast("long").alias("p"), F.col("id").alias("q"), F.col("id").alias("rn"), F.lit(0).alias("grp"), F.lit(False).alias("external"))
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    scratch = Scratch(spark, "test")
+    targets, taken = spark.createDataFrame([(1, 5000), (2, 5000), (3, 5000)], "student long, course long"), spark.createDataFrame([(1, 7), (2, 5001)], "student long, pk long")
+    members = spark.createDataFrame([], "node long, cycle long, members long")
+    got = {r.student: r.remaining for r in graph.student_plans(targets, edges, taken, members, scratch).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}
+    assert saved["tree-steps"].count() == 1 and saved["tree-taken"].count() == 2
