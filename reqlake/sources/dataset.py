@@ -102,10 +102,19 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("schema_version int, source string, course_count long").json(f"{path}/envelope")
 
 
-def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The courses (``COLUMNS``), and the damaged lines as (file, line).  Lines of white space alone are neither."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, value, c (``COLUMNS``) and sound of every line; lines of white space alone are left out."""
     lines = spark.read.text(f"{path}/courses").where(F.trim("value") != "").select("value", F.col("_metadata.file_name").alias("file"))
     read = F.from_json("value", f"{COLUMNS}, {DAMAGED} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED})
-    lines = lines.withColumn("c", read)
-    sound = F.col(f"c.{DAMAGED}").isNull() & F.col("c.code").isNotNull()
-    return lines.where(sound).select("c.*").drop(DAMAGED), lines.where(~sound).select("file", F.col("value").alias("line"))
+    return lines.withColumn("c", read).withColumn("sound", F.col(f"c.{DAMAGED}").isNull() & F.col("c.code").isNotNull())
+
+
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The courses (``COLUMNS``), and the damaged lines as (file, line).  Lines of white space alone are neither."""
+    lines = _lines(spark, path)
+    return lines.where("sound").select("c.*").drop(DAMAGED), lines.where("not sound").select("file", F.col("value").alias("line"))
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """read, damaged: how many lines ``read_dataset`` reads and how many it finds damaged, by one reading of them."""
+    return _lines(spark, path).agg(F.count_if("sound").alias("read"), F.count_if(~F.col("sound")).alias("damaged"))

@@ -60,6 +60,14 @@ def test_odd_trees(spark):
     assert [r.tree for r in dataset.tree_json(childless).collect()] == ['{"type":"AND","children":[]}']
 
 
+def test_lines_are_counted_in_one_reading(spark, tmp_path):
+    (tmp_path / "courses").mkdir()
+    (tmp_path / "courses" / "part.json").write_text('{"code":"A 1"}\n{"code":"A 2","level":"high"}\n{"level":103}\n   \n{"code":"A 3"}')
+    counts = dataset.line_counts(spark, str(tmp_path))
+    assert tuple(counts.first()) == (2, 2)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+
+
 def test_damaged_lines_are_listed(spark, tmp_path):
     lines = [
         '{"code":"A 1","level":101,"prerequisite_tree":{"type":"COURSE","code":"B 2"},"more":1}', '{"code":"A 2","level":"high"}', '{"code":"A 3","notes":["x"', '{"level":103}', "   ",
