@@ -19,6 +19,7 @@ from reqlake.storage import Scratch
 MOST_HOPS = tree_plans.MOST_HOPS
 HOPS_AT_ONCE = 4  #: hops of one written table
 SHORT = 4  #: tables of hops that a search takes before paths count as long
+STEPS = 100_000  #: edges to a partition of paths
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -39,22 +40,24 @@ def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS,
     A path begins at the root's first step, so a loop through the root is met one hop later.  ``members`` is the result of
     ``cycle_members``; without it the edges are taken to have no cycle, and no path has a guard.  Paths are counted and not
     listed, so without cycles the table stays within roots times reachable nodes times hops, and in a cyclic component
-    within roots times sets of visited courses.
+    within roots times sets of visited courses.  A hop is one shuffle of the paths: they lie by node, where they are merged
+    and meet the next step.
     """
     step = scratch.save(_steps(edges, members), "steps")
+    n = step.count() // STEPS + step.sparkSession.sparkContext.defaultParallelism
     key = ["root", "node"] if members is None else ["root", "node", "guard"]
     visited = [] if members is None else [tree_plans.visited(F.col("guard"), F.col("q"), F.col("inside"), F.col("stays")).alias("guard")]
     open_ = F.lit(True) if members is None else ~F.array_contains("guard", F.col("q"))
     first = edges.select(F.col("p").alias("root"), F.col("p").alias("node"), "q").join(step, ["node", "q"]).withColumn("guard", F.array().cast("array<long>"))
     first = first.withColumn("stays", F.lit(False))  # the root itself is not on its paths
-    work = first.select("root", F.col("q").alias("node"), *visited).groupBy(*key).agg(F.count("*").alias("n_paths"))
+    work = first.select("root", F.col("q").alias("node"), *visited).repartition(n, "node").groupBy(*key).agg(F.count("*").alias("n_paths"))
     found, hop = [], 0
     while hop < most_hops:
         tables = []
         for at in range(hop, min(hop + HOPS_AT_ONCE, most_hops)):
             if at:
                 grown = work.join(step, "node").where(open_)
-                work = grown.select("root", F.col("q").alias("node"), *visited, "n_paths").groupBy(*key).agg(F.sum("n_paths").alias("n_paths"))
+                work = grown.select("root", F.col("q").alias("node"), *visited, "n_paths").repartition(n, "node").groupBy(*key).agg(F.sum("n_paths").alias("n_paths"))
             tables.append(work.withColumn("hop", F.lit(at)))
         out = scratch.save(union_all(tables), f"hops-{hop}")
         found.append(out)
@@ -65,7 +68,9 @@ def chain_expand(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS,
     out = union_all(found)
     if members is None:  # no guards: one row already
         return out.select("root", "node", "hop", "n_paths")
-    return out.groupBy("root", "node", "hop").agg(F.sum("n_paths").alias("n_paths"))
+    alone = F.size("guard") == 0  # the node is in no component, so all its paths have this guard: one row already
+    merged = out.where(~alone).groupBy("root", "node", "hop").agg(F.sum("n_paths").alias("n_paths"))
+    return out.where(alone).select("root", "node", "hop", "n_paths").union(merged)
 
 
 def capped_courses(edges: DataFrame, scratch: Scratch, most_hops: int = MOST_HOPS, members: DataFrame | None = None) -> DataFrame:

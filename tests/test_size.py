@@ -29,3 +29,21 @@ def test_a_hop_shuffles_trees_and_not_their_nodes(spark, monkeypatch):
     got = {r.student: r.remaining for r in graph.student_plans(targets, edges, taken, members, scratch).collect()}
     assert got == {1: [], 2: [0], 3: [0]}
     assert saved["tree-steps"].count() == 1 and saved["tree-taken"].count() == 2
+
+
+def _shuffles(df, column):
+    """How often a plan shuffles rows by a key that begins with the column."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({column}#")
+
+
+def test_a_hop_shuffles_paths_once(spark, monkeypatch):
+    """Paths are merged where they meet the next step, and only those of cyclic components are merged once more."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (1, 5)], "p long, q long")
+    members = spark.createDataFrame([(2, 2, 2), (3, 2, 2)], "node long, cycle long, members long")
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: save(self, plans.setdefault(name, df), name))
+    out = graph.chain_expand(edges, Scratch(spark, "test"), 4, members)
+    assert _shuffles(plans["hops-0"], "root") == 0
+    assert _shuffles(out, "root") == 1 and "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {(1, 2, 0), (1, 5, 0), (1, 3, 1), (1, 4, 2), (1, 5, 3), (2, 3, 0), (2, 2, 1), (2, 4, 1), (2, 5, 2), (3, 2, 0), (3, 4, 0), (3, 3, 1), (3, 5, 1), (3, 4, 2), (3, 5, 3), (4, 5, 0)}
+    assert {tuple(r)[:3] for r in out.collect()} == found
