@@ -110,12 +110,14 @@ def outlier_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outlier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement texts with a second label inside: sentence and corequisite joined as one field."""
     rows = rt.texts(spark, sf_dir).select(F.col("code").alias("key"), F.concat_ws(" ", "sentence", "coreq").alias("t"))
+    rows = Scratch(spark, "labels").save(rows, "texts")  # read twice, as below
     return outliers.ranked(outliers.label_leftovers(rows, "key", "t"), 12)
 
 
 def outlier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Course-shaped tokens of unknown subjects, with the first half of the subjects as the vocabulary."""
     rows = rt.texts(spark, sf_dir).where("sentence is not null").select(F.col("code").alias("key"), "sentence")
+    rows = Scratch(spark, "codes").save(rows, "texts")  # findings are sketched and recounted: the edges behind them are found once
     codes = rt.subject_codes(spark, sf_dir)
     return outliers.ranked(outliers.unknown_codes(rows, "key", "sentence", codes[: (len(codes) + 1) // 2]), 12)
 

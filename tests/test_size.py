@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from reqlake.operators import graph
+from reqlake.operators import graph, outliers
 from reqlake.queries import text
 from reqlake.storage import Scratch
 
@@ -47,3 +47,12 @@ def test_a_hop_shuffles_paths_once(spark, monkeypatch):
     assert _shuffles(out, "root") == 1 and "Union" in out._jdf.queryExecution().optimizedPlan().toString()
     found = {(1, 2, 0), (1, 5, 0), (1, 3, 1), (1, 4, 2), (1, 5, 3), (2, 3, 0), (2, 2, 1), (2, 4, 1), (2, 5, 2), (3, 2, 0), (3, 4, 0), (3, 3, 1), (3, 5, 1), (3, 4, 2), (3, 5, 3), (4, 5, 0)}
     assert {tuple(r)[:3] for r in out.collect()} == found
+
+
+def test_outliers_read_written_texts(spark, monkeypatch):
+    """Findings are read twice (sketch and recount), and the edges behind the texts are not found again for that."""
+    read, ranked = [], outliers.ranked
+    monkeypatch.setattr(outliers, "ranked", lambda findings, limit: read.append(findings.inputFiles()) or ranked(findings, limit))
+    for query in (text.outlier_codes, text.outlier_labels):
+        query(spark, SF)
+    assert len(read) == 2 and not [f for files in read for f in files if "lineitem" in f]
