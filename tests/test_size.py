@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
-from reqlake.operators import graph, outliers
+from reqlake.operators import graph, outliers, trees
 from reqlake.queries import text
 from reqlake.storage import Scratch
 
@@ -56,3 +58,15 @@ def test_outliers_read_written_texts(spark, monkeypatch):
     for query in (text.outlier_codes, text.outlier_labels):
         query(spark, SF)
     assert len(read) == 2 and not [f for files in read for f in files if "lineitem" in f]
+
+
+def test_pairs_of_levels_repeat_themselves(spark):
+    """A deal's pairs are of one subject after the other, with a block's courses in one order for each student, so that they take little room."""
+    needs = spark.range(60).select(F.format_string("C%d", "id").alias("course"), F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("subject"), F.lit(300).alias("need"))
+    best = spark.range(120).select((F.col("id") % 40).alias("student"), F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("subject"), F.lit(400).alias("best"))
+    got = trees.level_pairs(needs, best, Scratch(spark, "test")).withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == len({(r.student, r.course) for r in got}) == 40 * 60
+    of = lambda r: (r.part, int(r.course[1:]) % 3)
+    runs = [(k, [r.course for r in rows]) for k, rows in groupby(got, of)]
+    assert len(runs) == len({k for k, _ in runs}) == 3
+    assert all(courses == courses[:20] * 40 for _, courses in runs)
