@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqlake.storage import shuffled
+
 # The patterns that decide where sentences end and what they are.
 MISSING_SPACE = r"(?<=[a-z])\.(?=[A-Z][a-z])"
 SENTENCE_END = r"(?<!\be\.g)(?<!\bi\.e)(?<!\bBSc)(?<!\bMSc)(?<!\bDr)(?<!\bNo)(?<=[.;])\s+(?=[A-Z(])"
@@ -70,7 +72,7 @@ def field_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = routed_sentences(docs, key, text).groupBy(key)
     one = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "part", "sentence"))))
     lists = rows.agg(*[one(f).alias(f) for f in FIELDS])
-    return docs.select(key).join(lists, key, "left").select(key, *[F.nullif(F.trim(F.array_join(F.col(f)["sentence"], " ")), F.lit("")).alias(f) for f in FIELDS])
+    return docs.select(key).join(shuffled(lists), key, "left").select(key, *[F.nullif(F.trim(F.array_join(F.col(f)["sentence"], " ")), F.lit("")).alias(f) for f in FIELDS])
 
 
 def notes_of(description: Column) -> tuple[Column, Column]:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqlake.storage import Scratch
+from reqlake.storage import Scratch, shuffled
 
 # The grammar of requirement sentences.
 NUMBER = r"\d{2,}(?:[A-Z]{1,2}|-\d)?"  #: of any length: a large catalogue numbers its courses with four digits and more
@@ -334,7 +334,7 @@ def parse(rows: DataFrame, key: str, text: str, home: str, vocabulary: Vocabular
     leaves = scratch.save(atoms(prepared, key, home, vocabulary), "leaves")
     said = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(kinds & F.col("said").isNotNull(), F.struct("path", "said")))), lambda x: x["said"])
     per_text = leaves.where("kind is not null").groupBy(key).agg(F.collect_list(_leaf()).alias("items"), said(F.col("kind") != "U").alias("dropped"), said(F.col("kind") == "U").alias("unrecognized"))
-    out = prepared.join(folded(per_text), key, "left")
+    out = prepared.join(shuffled(folded(per_text)), key, "left")
     none = F.array().cast("array<string>")
     dropped, unrecognized = F.coalesce("dropped", none), F.coalesce("unrecognized", none)
     partial = (F.size(dropped) + F.size(unrecognized) + F.size("asides")) > 0

@@ -15,7 +15,7 @@ from reqlake.sources import course_pages
 from reqlake.sources import pages as html
 from reqlake.sources import requirement_text as rt
 from reqlake.sources import shapes
-from reqlake.storage import Scratch
+from reqlake.storage import Scratch, shuffled
 
 PER_SUBJECT = 5
 UNDERGRAD = 500
@@ -56,11 +56,11 @@ def built(pages: DataFrame, vocabulary: grammar.Vocabulary) -> DataFrame:
     """The 22 columns of a course from its page: fields, routed sentences, trees, exclusions, notes."""
     scratch = Scratch(pages.sparkSession, "build")
     fields = scratch.save(html.course_fields(pages), "fields")
-    text = fields.join(sentences.field_texts(fields.where("description is not null"), "url", "description").withColumnRenamed("prose", "prose_text"), "url", "left")
+    text = fields.join(shuffled(sentences.field_texts(fields.where("description is not null"), "url", "description").withColumnRenamed("prose", "prose_text")), "url", "left")
     text = scratch.save(text.withColumn("home", subject_of(F.col("code"))), "texts")
     read = lambda field: grammar.parse(text.select("url", field, "home"), "url", field, "home", vocabulary)
     prereq, coreq = read("prereq"), read("coreq").select("url", F.col("tree").alias("coreq_tree"), F.col("parse_status").alias("coreq_status"))
-    rows = text.join(prereq, "url").join(coreq, "url")
+    rows = text.join(shuffled(prereq), "url").join(shuffled(coreq), "url")
     excluded = grammar.credit_exclusions(F.col("exclusion"), F.col("code"), F.col("home"), vocabulary)
     exclusions = F.array_remove(F.array_union(excluded, "candidates"), F.col("code"))
     informational = [F.when(n.isNotNull(), F.concat(n, F.lit(NOT_ENFORCED))) for n in sentences.notes_of(F.coalesce("description", F.lit("")))]

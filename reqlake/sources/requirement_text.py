@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlake.sources import catalogue as cat
-from reqlake.storage import table
+from reqlake.storage import shuffled, table
 
 #: Columns x, y, z, w are the codes of a course's options; ys and ws are y and w as a list after x and z would write them.
 SENTENCE = """
@@ -58,7 +58,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     course = cat.courses(spark, sf_dir)
     named = cat.edges(spark, sf_dir).select("p", "rn", cat.code_of(F.col("q")).alias("c"))
     options = named.groupBy(F.col("p").alias("pk")).agg(*[F.max(F.when(F.col("rn") == i + 1, F.col("c"))).alias(n) for i, n in enumerate("xyzw")])
-    rows = course.join(options, "pk", "left").join(cat.exclusions(spark, sf_dir).select("pk", cat.code_of(F.col("ex")).alias("ex_code")), "pk", "left")
+    rows = course.join(shuffled(options), "pk", "left").join(shuffled(cat.exclusions(spark, sf_dir).select("pk", cat.code_of(F.col("ex")).alias("ex_code"))), "pk", "left")
     short = lambda a, b: F.when(F.split_part(a, F.lit(" "), F.lit(1)) == F.split_part(b, F.lit(" "), F.lit(1)), F.split_part(b, F.lit(" "), F.lit(2))).otherwise(b)
     rows = rows.withColumn("ys", short(F.col("x"), F.col("y"))).withColumn("ws", short(F.col("z"), F.col("w"))).withColumn("next_code", cat.code_of(F.col("pk") + 1))
     for name, sql in (("sentence", SENTENCE), ("intro", INTRO), ("coreq", COREQ), ("exclusion", EXCLUSION), ("note", NOTE), ("reverse", REVERSE)):

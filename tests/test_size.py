@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqlake.operators import graph, outliers, trees
-from reqlake.queries import text
+from reqlake.queries import building, text
+from reqlake.sources import catalogue
 from reqlake.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,14 @@ def test_pairs_of_levels_repeat_themselves(spark):
     runs = [(k, [r.course for r in rows]) for k, rows in groupby(got, of)]
     assert len(runs) == len({k for k, _ in runs}) == 3
     assert all(courses == courses[:20] * 40 for _, courses in runs)
+
+
+@pytest.mark.parametrize("query", [building.dataset_counts, building.course_cards, building.report_lists])
+def test_no_table_of_courses_is_broadcast(spark, monkeypatch, query):
+    """However small Spark takes a written table of courses for, the driver is sent none (keys of courses only while they are few)."""
+    monkeypatch.setattr(catalogue, "KEYS", 0)
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.append(df) or save(self, df, name))
+    plans.append(query(spark, SF))
+    assert len(plans) > 3
+    assert not [p for p in plans if "Broadcast" in p._jdf.queryExecution().executedPlan().toString()]
